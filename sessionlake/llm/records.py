@@ -212,12 +212,12 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
-        files, root = fs.FileSystem.from_uri(folder)
+        store, root = fs.FileSystem.from_uri(folder)
         kind = np.dtype("<u2" if width == 2 else "<u4")
         for frame in frames:
             for shard in frame["shard"].tolist():
                 out, start = [], 0
-                with files.open_input_stream(f"{root}/shard-{shard:06d}.rec", buffer_size=1 << 20) as source:
+                with store.open_input_stream(f"{root}/shard-{shard:06d}.rec", buffer_size=1 << 20) as source:
                     for number, payload in enumerate(unframed(source)):
                         ids = np.frombuffer(payload, dtype=kind, offset=8)
                         doc = struct.unpack_from("<q", payload)[0]
@@ -232,8 +232,11 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     # A row for each file: few and small, so one task may sum them up.
     before = F.sum("n").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))
     bases = shards.withColumn("base", F.coalesce(before, F.lit(0))).select("shard", "base")
-    dealt = shards.select("shard").repartition(max(1, shards.count()), "shard")
+    files = shards.count()
+    dealt = shards.select("shard").repartition(max(1, files), "shard")
     read = dealt.mapInPandas(run, "doc_id long, shard int, number long, n_tokens long, start long, ids_crc32 long")
+    # Of the two sides, only the one with a row a file may ever be broadcast.
+    bases = F.broadcast(bases) if files <= 200_000 else bases.hint("merge")
     return read.join(bases, "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")
 
 
