@@ -1,7 +1,7 @@
 """Operator 5: SimHash near-duplicates by covering locality-sensitive hashing.
 
 A fingerprint is cut into blocks; within a block, bit ``i`` gets a vector ``m(i)`` of ``radius + 1`` bits, and each of
-the ``2**(radius + 1) - 1`` non-zero vectors ``v`` gives the mask of bits with even inner product ``<m(i), v>``. The
+the ``2**(radius + 1) - 1`` non-zero vectors ``v`` gives the mask of bits with odd inner product ``<m(i), v>``. The
 vectors of ``radius`` differing bits cannot span the whole space, so some ``v`` is orthogonal to all of them: that mask
 drops every differing bit, and the pair meets in that table (Pagh, 2016). With ``k`` blocks of radius ``r`` every pair
 within ``k * (r + 1) - 1`` bits meets, since some block then holds ``r`` of them at most.
@@ -54,7 +54,7 @@ def masks(bits: int, radius: int) -> np.ndarray:
     so each mask keeps about half of the bits."""
     size = (1 << (radius + 1)) - 1
     m = [i % size + 1 for i in range(bits)]
-    return np.array([sum(1 << i for i in range(bits) if not (m[i] & v).bit_count() & 1) for v in range(1, size + 1)], dtype=np.uint64)
+    return np.array([sum(1 << i for i in range(bits) if (m[i] & v).bit_count() & 1) for v in range(1, size + 1)], dtype=np.uint64)
 
 
 def fingerprint(text: str | None, shape: Shape = Shape()) -> np.ndarray:
