@@ -33,15 +33,41 @@ def numbered(rows: DataFrame, group: list[str], order: list[str], name: str, per
 
 def quotas(asked: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """How many requests i to j are granted, and how many unlinked rows go i to j in return, so that every shard's
-    count stays: ``asked`` (shards x shards), ``free`` unlinked rows of each shard."""
+    count stays: ``asked`` (shards x shards), ``free`` unlinked rows of each shard. Requests go round in cycles, the
+    shortest first; unlinked rows close the paths that are left."""
     granted = np.minimum(asked, asked.T)
-    left, room = asked - granted, free.copy()
+    left, room, n = asked - granted, free.copy(), len(free)
     back = np.zeros_like(asked)
+
+    def path(a: int, b: int) -> list[int] | None:
+        """The shortest way from a to b along requests."""
+        came, queue = {a: a}, [a]
+        for i in queue:
+            for j in np.flatnonzero(left[i]).tolist():
+                if j not in came:
+                    came[j] = i
+                    queue.append(j)
+        if b not in came:
+            return None
+        way = [b]
+        while way[-1] != a:
+            way.append(came[way[-1]])
+        return way[::-1]
+
+    def grant(way: list[int], most: int) -> None:
+        for i, j in zip(way, way[1:]):
+            granted[i, j] += most
+            left[i, j] -= most
+
+    for i in range(n):
+        for j in np.flatnonzero(left[i]).tolist():
+            while left[i, j] and (way := path(j, i)):
+                grant([i, *way], min(left[x, y] for x, y in zip([i, *way], way)))
     for i, j in sorted(zip(*np.nonzero(left)), key=lambda e: (-left[e], e)):
-        n = min(left[i, j], room[j])
-        granted[i, j] += n
-        back[j, i] += n
-        room[j] -= n
+        most = min(left[i, j], room[j])
+        grant([int(i), int(j)], most)
+        back[j, i] += most
+        room[j] -= most
     return granted, back
 
 
@@ -55,9 +81,10 @@ def shards(rows: DataFrame, n: int = 8, key: str = "id", hub: str = "hub", round
     linked = F.col(hub).isNotNull()
     for _ in range(rounds):
         held = now.where(linked).groupBy(hub, "shard").agg(F.count("*").alias("held"))
-        # The largest shard of a group, the smaller number at a tie; the group's rows elsewhere would like to be there.
-        top = held.groupBy(hub).agg(F.max(F.struct("held", (-F.col("shard")).alias("s"))).alias("top"), F.sum("held").alias("all"))
-        wish = now.join(top.where("all > 1").select(hub, (-F.col("top.s")).alias("to"), F.col("top.held").alias("pull")), hub, "left")
+        # The largest shard of a group; a hash of both at a tie, so that groups spread evenly. The group's rows elsewhere
+        # would like to be there.
+        top = held.groupBy(hub).agg(F.max(F.struct("held", F.xxhash64(hub, "shard").alias("tie"), "shard")).alias("top"), F.sum("held").alias("all"))
+        wish = now.join(top.where("all > 1").select(hub, F.col("top.shard").alias("to"), F.col("top.held").alias("pull")), hub, "left")
         moves = F.col("to").isNotNull() & (F.col("to") != F.col("shard"))
         # Unlinked rows, and those alone in their group, may go anywhere.
         loose = F.col("to").isNull()
