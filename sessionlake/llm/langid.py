@@ -122,7 +122,8 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
                 at = np.flatnonzero(total[i, k])
                 # What no two of a task's documents share is not frequent in the language.
                 at = at[total[i, k, at] > 1]
-                yield pd.DataFrame({"lang": i, "k": k, "slot": at, "n": total[i, k, at], "h": first[k, at].view(np.int64)})
+                if len(at):
+                    yield pd.DataFrame({"lang": i, "k": k, "slot": at, "n": total[i, k, at], "h": first[k, at].view(np.int64)})
 
     counts = sample.mapInPandas(run, "lang int, k int, slot int, n long, h long").groupBy("lang", "k", "slot").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
     from pyspark.sql.window import Window
@@ -142,7 +143,8 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
         for frame in pieces(frames):
             found = [shares(text, sent.value) for text in frame["text"]]
             rows = [(k, float(s[number[k]])) for k, s in zip(frame["lang"], found) if s is not None]
-            yield pd.DataFrame(rows, columns=["lang", "s"]).groupby("lang", as_index=False).agg(s=("s", "sum"), n=("s", "size"))
+            if rows:
+                yield pd.DataFrame(rows, columns=["lang", "s"]).groupby("lang", as_index=False).agg(s=("s", "sum"), n=("s", "size"))
 
     for r in sample.mapInPandas(own, "lang string, s double, n long").groupBy("lang").agg((F.sum("s") / F.sum("n")).alias("m")).collect():
         model.typical[number[r["lang"]]] = max(r["m"], 0.05)

@@ -91,7 +91,8 @@ def term_counts(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
                 for w, n in zip(terms.split(), np.frombuffer(counts, dtype=np.int32).tolist()):
                     if w in asked.value:
                         total[w] = total.get(w, 0) + n
-        yield pd.DataFrame({"term": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"term": list(total), "n": list(total.values())})
 
     found = index.select("terms", "counts").mapInPandas(run, "term binary, n long")
     return {bytes(r["term"]): r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}

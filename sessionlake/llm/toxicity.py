@@ -174,7 +174,8 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
         for frame in pieces(frames):
             for text in frame["text"]:
                 total.update({t for w in set(_WORD.findall((text or "").lower())) for t in terms(w, rule)})
-        yield pd.DataFrame({"term": list(total), "p": list(total.values())})
+        if total:
+            yield pd.DataFrame({"term": list(total), "p": list(total.values())})
 
     often = sample.where("toxic = 1").mapInPandas(in_toxic, "term string, p long").groupBy("term").agg(F.sum("p").alias("p")).where(F.col("p") >= rule.least)
     candidates = {r["term"]: r["p"] for r in often.collect()}  # from the bounded sample
@@ -193,7 +194,8 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
                 total.update(own)
                 if len(seen) > 300_000:
                     seen.clear()
-        yield pd.DataFrame({"term": list(total), "n": list(total.values())})
+        if total:
+            yield pd.DataFrame({"term": list(total), "n": list(total.values())})
 
     clean = {r["term"]: r["n"] for r in sample.where("toxic = 0").mapInPandas(in_clean, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     scored = []

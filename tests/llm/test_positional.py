@@ -65,5 +65,6 @@ def test_proximity_against_brute_force(spark):
     docs = {1: "a x b y a b", 2: "b q q q a", 3: "a", 4: "b a"}
     frame = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
     found = {(r["doc_id"], r["position"]) for r in positional.proximity(frame, ["a b"], 3, segment_words=6).collect()}
-    expected = {(d, p) for d, t in docs.items() for p in range(len(w := words(t))) if w[p] in "ab" and {"a", "b"} <= set(w[p : p + 3])}
+    split = {d: words(t) for d, t in docs.items()}
+    expected = {(d, p) for d, w in split.items() for p in range(len(w)) if w[p] in "ab" and {"a", "b"} <= set(w[p : p + 3])}
     assert found == expected
