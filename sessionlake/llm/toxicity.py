@@ -1,6 +1,7 @@
 """Operator 7: toxicity from the nearest labelled examples, by exact TF-IDF cosine on block-max inverted indexes.
 
-Terms are words and beginnings of words, so that inflected and compounded forms meet. Of the terms in the labelled
+Terms are words and beginnings of words, so that inflected and compounded forms meet, and either of them twice or three
+times in a text, since what is harmless once may not be when it returns. Of the terms in the labelled
 sample those are kept whose log-odds of the toxic label are high beyond doubt (lower confidence bound). The examples
 that hold any are indexed: for each term a list of (example, weight) in order of examples, cut at blocks of examples,
 with the largest weight of each block. A query adds up these maxima into an upper bound for every block, opens blocks
@@ -14,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,41 +38,65 @@ class Rule:
     sample: int = 20_000
     prefixes: tuple[int, ...] = (4, 5, 6, 7, 8)
     least: int = 4
-    bound: float = 2.7
+    bound: float = 2.0
     terms: int = 4000
     k: int = 25
     block: int = 64
     doubt: float = 0.5
 
 
-def terms(word: str, rule: Rule) -> list[str]:
+def forms(word: str, rule: Rule) -> list[str]:
     return [word, *(word[:n] + "*" for n in rule.prefixes if len(word) > n)]
 
 
-class Vectors:
-    """Weights of the kept terms in a text. Words are looked up once a process and remembered, up to a bound."""
+def terms(counts: dict[str, int]) -> list[str]:
+    """The terms of a text from how often its forms stand in it: each form, and again for twice and three times."""
+    return [f + times for f, n in counts.items() for times in ("", "2", "3")[: min(n, 3)]]
 
-    def __init__(self, number: dict[str, int], idf: np.ndarray, rule: Rule) -> None:
-        self.number, self.idf, self.rule, self.seen = number, idf, rule, {}
 
-    def hits(self, word: str) -> tuple[int, ...]:
+def form_counts(text: str | None, of: Callable[[str], Sequence[str]]) -> Counter:
+    out: Counter = Counter()
+    for w, n in Counter(_WORD.findall((text or "").lower())).items():
+        for f in of(w):
+            out[f] += n
+    return out
+
+
+class Known:
+    """The forms of a word that are in a set, looked up once a process and remembered, up to a bound."""
+
+    def __init__(self, wanted: set[str], rule: Rule) -> None:
+        self.wanted, self.rule, self.seen = wanted, rule, {}
+
+    def __call__(self, word: str) -> tuple[str, ...]:
         found = self.seen.get(word)
         if found is None:
-            found = tuple(self.number[t] for t in terms(word, self.rule) if t in self.number)
+            found = tuple(f for f in forms(word, self.rule) if f in self.wanted)
             if len(self.seen) < 300_000:
                 self.seen[word] = found
         return found
 
+
+class Vectors:
+    """Weights of the kept terms in a text."""
+
+    def __init__(self, number: dict[str, int], idf: np.ndarray, rule: Rule) -> None:
+        self.number, self.idf = number, idf
+        self.known = Known({t.rstrip("23") for t in number}, rule)
+
     def of(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Term numbers, ascending, and weights of unit length: (1 + log tf) idf."""
         words = _WORD.findall((text or "").lower())
-        kept = [w for w in set(words) if self.hits(w)]
+        kept = {w for w in set(words) if self.known(w)}
         if not kept:
             return np.zeros(0, dtype=np.int64), np.zeros(0)
-        only, tf = set(kept), Counter()
-        for w, n in Counter(w for w in words if w in only).items():
-            for t in self.hits(w):
-                tf[t] += n
+        counts: Counter = Counter()
+        for w in words:
+            if w in kept:
+                counts.update(self.known(w))
+        tf = {self.number[t]: counts[t.rstrip("23")] for t in terms(counts) if t in self.number}
+        if not tf:
+            return np.zeros(0, dtype=np.int64), np.zeros(0)
         at = np.array(sorted(tf), dtype=np.int64)
         weight = (1 + np.log([tf[t] for t in at.tolist()])) * self.idf[at]
         return at, weight / np.linalg.norm(weight)
@@ -173,7 +198,7 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
         total: Counter = Counter()
         for frame in pieces(frames):
             for text in frame["text"]:
-                total.update({t for w in set(_WORD.findall((text or "").lower())) for t in terms(w, rule)})
+                total.update(terms(form_counts(text, lambda w: forms(w, rule))))
         if total:
             yield pd.DataFrame({"term": list(total), "p": list(total.values())})
 
@@ -183,17 +208,10 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
 
     def in_clean(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: Counter = Counter()
-        seen: dict[str, list[str]] = {}
+        known = Known({t.rstrip("23") for t in asked.value}, rule)
         for frame in pieces(frames):
             for text in frame["text"]:
-                own = set()
-                for w in set(_WORD.findall((text or "").lower())):
-                    if (known := seen.get(w)) is None:
-                        known = seen[w] = [t for t in terms(w, rule) if t in asked.value]
-                    own.update(known)
-                total.update(own)
-                if len(seen) > 300_000:
-                    seen.clear()
+                total.update(t for t in terms(form_counts(text, known)) if t in asked.value)
         if total:
             yield pd.DataFrame({"term": list(total), "n": list(total.values())})
 
