@@ -104,26 +104,7 @@ def _near(one: np.ndarray, many: np.ndarray, reach: int) -> np.ndarray:
 def forest(points: np.ndarray, reach: int) -> list[tuple[int, int]]:
     """Edges of a spanning forest of the links among ``points`` (rows of 64-bit words). Breadth first, so each point
     is compared only with those not reached yet."""
-    n, edges = len(points), []
-    if n < 2:
-        return edges
-    if n <= 64:
-        a, b = np.triu_indices(n, 1)
-        hit = np.flatnonzero(np.bitwise_count(points[a] ^ points[b]).sum(axis=1) <= reach)
-        root = list(range(n))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for x, y in zip(a[hit].tolist(), b[hit].tolist()):
-            if (p := find(x)) != (q := find(y)):
-                root[q] = p
-                edges.append((x, y))
-        return edges
-    rest = np.arange(n)
+    edges, rest = [], np.arange(len(points))
     while len(rest) > 1:
         queue, rest = [int(rest[0])], rest[1:]
         while queue and len(rest):
@@ -137,6 +118,48 @@ def forest(points: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return edges
 
 
+def _spanning(edges: np.ndarray) -> np.ndarray:
+    """Those of the edges (rows: two points) that join what the ones before left apart."""
+    half = edges.shape[1] // 2
+    points, number = np.unique(np.concatenate((edges[:, :half], edges[:, half:])), axis=0, return_inverse=True)
+    number = number.reshape(-1)
+    up = list(range(len(points)))
+    keep = []
+    for k, (x, y) in enumerate(zip(number[: len(edges)].tolist(), number[len(edges) :].tolist())):
+        while up[x] != x:
+            up[x] = x = up[up[x]]
+        while up[y] != y:
+            up[y] = y = up[up[y]]
+        if x != y:
+            up[y] = x
+            keep.append(k)
+    return edges[keep]
+
+
+def _bucket_pairs(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: int, small: int = 64) -> list[np.ndarray]:
+    """Links within each bucket, the rows from a start to an end of ``body``: all buckets of up to ``small`` rows at
+    once, each row against the one k places on, k by k; larger ones breadth first."""
+    found, size = [], ends - starts
+    few = (size > 1) & (size <= small)
+    row = np.repeat(starts[few], size[few]) + np.arange(int(size[few].sum())) - np.repeat(np.cumsum(size[few]) - size[few], size[few])
+    end = np.repeat(ends[few], size[few])
+    for k in range(1, small):
+        inside = row + k < end
+        row, end = row[inside], end[inside]
+        if not len(row):
+            break
+        x, y = body[row], body[row + k]
+        hit = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= reach
+        if hit.any():
+            found.append(np.concatenate((x[hit], y[hit]), axis=1))
+    for a, b in zip(starts[size > small].tolist(), ends[size > small].tolist()):
+        points = np.ascontiguousarray(body[a:b])
+        if edges := forest(points.view(np.uint64), reach):
+            e = np.array(edges)
+            found.append(np.concatenate((points[e[:, 0]], points[e[:, 1]]), axis=1))
+    return found
+
+
 def _keys(points: np.ndarray, shape: Shape) -> tuple[np.ndarray, int]:
     """For each point and table the bucket's key: 64 bits of a mixed (table, masked bits)."""
     width = shape.bits // shape.blocks
@@ -170,15 +193,16 @@ def _tables(points: DataFrame, shape: Shape) -> DataFrame:
 def _bucket_edges(rows: DataFrame, group: list[str], cols: list[str], reach: int) -> DataFrame:
     """Forest edges within each group; rows of a group are neighbours in their sorted partition."""
 
-    def solve(values: np.ndarray, found: list[np.ndarray]) -> None:
-        points = np.unique(values, axis=0) if len(values) > 2 else values
-        if edges := forest(np.ascontiguousarray(points).view(np.uint64), reach):
-            e = np.array(edges)
-            found.append(np.concatenate((points[e[:, 0]], points[e[:, 1]]), axis=1))
+    named = [f"{s}{k}" for s in "ab" for k in range(len(cols))]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: np.ndarray | None = None
-        named = [f"a{k}" for k in range(len(cols))] + [f"b{k}" for k in range(len(cols))]
+
+        def solved(values: np.ndarray, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
+            found = _bucket_pairs(np.ascontiguousarray(values[:, len(group) :]), bounds[:-1], bounds[1:], reach)
+            if found:
+                yield pd.DataFrame(_spanning(np.concatenate(found)), columns=named)
+
         for frame in frames:
             values = frame[group + cols].to_numpy(dtype=np.int64)
             if held is not None:
@@ -186,27 +210,11 @@ def _bucket_edges(rows: DataFrame, group: list[str], cols: list[str], reach: int
             if not len(values):
                 continue
             new = np.flatnonzero((values[1:, : len(group)] != values[:-1, : len(group)]).any(axis=1)) + 1
-            bounds = np.concatenate(([0], new, [len(values)]))
-            held = values[bounds[-2] :]
-            starts, ends = bounds[:-2], bounds[1:-1]
-            found: list[np.ndarray] = []
-            size = ends - starts
-            body = values[:, len(group) :]
-            pairs = starts[size == 2]
-            if len(pairs):  # most buckets that hold anything hold two
-                x, y = body[pairs], body[pairs + 1]
-                hit = np.bitwise_count((x ^ y).view(np.uint64)).sum(axis=1) <= reach
-                found.append(np.concatenate((x[hit], y[hit]), axis=1))
-            for a, b in zip(starts[size > 2].tolist(), ends[size > 2].tolist()):
-                solve(body[a:b], found)
-            if found:
-                edges = np.unique(np.concatenate(found), axis=0)
-                yield pd.DataFrame(edges, columns=named)
-        if held is not None and len(held) > 1:
-            found = []
-            solve(held[:, len(group) :], found)
-            if found:
-                yield pd.DataFrame(np.concatenate(found), columns=named)
+            bounds = np.concatenate(([0], new))
+            held = values[bounds[-1] :]  # the last bucket may go on in the next frame
+            yield from solved(values, bounds)
+        if held is not None:
+            yield from solved(held, np.array([0, len(held)]))
 
     schema = ", ".join(f"{s}{k} long" for s in "ab" for k in range(len(cols)))
     n = shuffle_partitions(rows.sparkSession)
