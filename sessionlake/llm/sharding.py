@@ -84,7 +84,16 @@ def shards(rows: DataFrame, n: int = 8, key: str = "id", hub: str = "hub", round
         # The largest shard of a group; a hash of both at a tie, so that groups spread evenly. The group's rows elsewhere
         # would like to be there.
         top = held.groupBy(hub).agg(F.max(F.struct("held", F.xxhash64(hub, "shard").alias("tie"), "shard")).alias("top"), F.sum("held").alias("all"))
-        wish = now.join(top.where("all > 1").select(hub, F.col("top.shard").alias("to"), F.col("top.held").alias("pull")), hub, "left")
+        goal = top.where("all > 1").select(hub, F.col("top.shard").alias("to"), F.col("top.held").alias("pull"), "all")
+        # Groups of more than a ten-thousandth of all rows number fewer than ten thousand: their goals are broadcast,
+        # and no key of the other join has more rows than that.
+        large = max(1000, total // 10_000)
+        hot, cool = F.broadcast(goal.where(F.col("all") > large).drop("all")), goal.where(F.col("all") <= large).drop("all")
+        near = now.where(linked).join(hot, hub, "left")
+        found = near.where("to is not null")
+        others = near.where("to is null").drop("to", "pull").join(cool, hub, "left")
+        alone = now.where(~linked).withColumn("to", F.lit(None).cast("int")).withColumn("pull", F.lit(None).cast("long"))
+        wish = found.unionByName(others).unionByName(alone)
         moves = F.col("to").isNotNull() & (F.col("to") != F.col("shard"))
         # Unlinked rows, and those alone in their group, may go anywhere.
         loose = F.col("to").isNull()
