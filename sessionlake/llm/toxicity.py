@@ -180,6 +180,10 @@ def _rising(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([p[0] for p in pools]), np.array([min(0.999, max(0.001, (p[1] * p[2] + 0.5 * 0.1) / (p[2] + 0.1))) for p in pools])
 
 
+def _draw() -> Column:
+    return F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
+
+
 def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
     """Learn from ``labelled`` (doc_id, text, toxic 0 or 1). Rows with a null label teach nothing; null texts are empty.
 
@@ -189,8 +193,7 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
     spark = labelled.sparkSession
     rows = labelled.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text", (F.col("toxic") > 0).cast("int").alias("toxic"))
     count = rows.count()
-    draw = F.pmod(F.xxhash64("doc_id", F.lit("toxicity")), F.lit(1 << 20)) / float(1 << 20)
-    sample, _ = stored(rows.where(draw < min(1.0, rule.sample / max(1, count))), "toxicity-sample")
+    sample, _ = stored(rows.where(_draw() < min(1.0, rule.sample / max(1, count))), "toxicity-sample")
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     pos, neg = sizes.get(1, 0), sizes.get(0, 0)
 
@@ -250,6 +253,14 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
     return model
 
 
+def learn(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
+    """Learn from ``docs`` (doc_id, text) and ``labels`` (doc_id, toxic). The labels are drawn before the join, so the
+    side that is broadcast has about ``rule.sample`` rows at most and no text is shuffled."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null").dropDuplicates(["doc_id"])
+    chosen = known.where(_draw() < min(1.0, rule.sample / max(1, known.count())))
+    return fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), rule)
+
+
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), evidence (ids of the nearest labelled examples): a row for each row of ``docs``, from
     its whole text alone. Null and empty texts have no term and get the score of such texts."""
@@ -277,5 +288,4 @@ def score_column(docs: DataFrame, model: Model) -> Column:
 def without_toxic(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> DataFrame:
     """``docs`` without those scored 0.5 or more, learned from the labelled ones among them. No other column plays a
     part; rows that repeat are judged alike, and documents without text stay."""
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", "toxic").where("toxic is not null").dropDuplicates(["doc_id"]), "doc_id")
-    return docs.where(score_column(docs, fit(known, rule)) < 0.5)
+    return docs.where(score_column(docs, learn(docs, labels, rule)) < 0.5)
