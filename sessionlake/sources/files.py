@@ -211,9 +211,13 @@ def read_custom(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalog(spark: SparkSession, source: str, path: str) -> DataFrame:
-    """Projects with their number of sessions and bytes."""
+    """Projects with their number of sessions and bytes. A custom log holds a session a line, others one a file."""
     from ..operators.rollup import project_catalog
 
+    if source == "custom":
+        lines = spark.read.option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").text(path).where(F.trim("value") != "")
+        project = F.element_at(F.split("_metadata.file_path", "/"), -2)
+        return project_catalog(lines.select(F.lit(source).alias("source"), project.alias("project"), F.octet_length("value").cast("long").alias("bytes")))
     pattern = _FILES[source][0] if source in _FILES else "*.jsonl"
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
     up = {"gemini": 3, "kimi": 3}.get(source, 2)

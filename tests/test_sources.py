@@ -135,7 +135,7 @@ def test_kimi_and_openclaw_and_custom(spark, tmp_path):
     (d,) = records(files.read(spark, "custom", str(tmp_path / "custom")))
     assert (d["project"], d["source"]) == ("custom:mine", "custom")
     catalog = files.catalog(spark, "custom", str(tmp_path / "custom")).collect()
-    assert [(r["project"], r["session_count"]) for r in catalog] == [("mine", 1)]
+    assert [(r["project"], r["session_count"]) for r in catalog] == [("mine", 4)]
 
 
 @pytest.fixture()
