@@ -43,6 +43,11 @@ def release(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def release_all(spark: SparkSession) -> None:
+    """Delete every scratch table of this library. Results that were not written elsewhere read them: call it last."""
+    release(spark, f"{scratch_root(spark)}/sessionlake")
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
