@@ -52,6 +52,19 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """``rows`` joined with the row of their group (``groups``: key, size, values; each key once, none null).
+
+    Groups of more than a ten-thousandth of ``total`` rows number fewer than ten thousand: they are broadcast, and no
+    key of the other join has more rows than that."""
+    large = max(1000, total // 10_000)
+    values = [c for c in groups.columns if c not in (key, size)]
+    hot = groups.where(F.col(size) > large).select(key, *values, F.lit(True).alias("_hot"))
+    near = rows.join(F.broadcast(hot), key, "left")
+    others = near.where("_hot is null").drop("_hot", *values).join(groups.where(F.col(size) <= large).drop(size), key)
+    return near.where("_hot is not null").drop("_hot").unionByName(others)
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, play no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

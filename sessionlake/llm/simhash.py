@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, shuffle_partitions, stored, text_rows
+from .common import join_groups, pieces, release, shuffle_partitions, stored, text_rows
 from .components import connected_components
 
 
@@ -221,6 +221,25 @@ def _bucket_edges(rows: DataFrame, group: list[str], cols: list[str], reach: int
     return rows.repartition(n, *group).sortWithinPartitions(*group).mapInPandas(run, schema)
 
 
+def _thinned(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
+    """Spanning forests of parts of the edges: every bucket that a group meets in gives a forest of its own, and what
+    they repeat need not be joined again and again."""
+    edges, _ = stored(edges, "simhash-edges")
+    cols = edges.columns
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = np.zeros((0, len(cols)), dtype=np.int64)
+        for frame in frames:
+            held = np.concatenate((held, frame[cols].to_numpy(dtype=np.int64)))
+            if len(held):
+                held = _spanning(held)
+        if len(held):
+            yield pd.DataFrame(held, columns=cols)
+
+    parts = max(8, -(-edges.count() // per_task))
+    return edges.repartition(parts, *cols).mapInPandas(run, ", ".join(f"{c} long" for c in cols))
+
+
 def _hot(points: DataFrame, shape: Shape) -> DataFrame:
     """key, rows: the buckets that may hold more than ``shape.chunk`` points.
 
@@ -251,7 +270,7 @@ def links(points: DataFrame, shape: Shape) -> DataFrame:
     hot, hot_path = stored(_hot(points, shape), "simhash-hot")
     if hot.isEmpty():
         release(spark, hot_path)
-        return _bucket_edges(rows, ["key"], cols, shape.reach).distinct()
+        return _thinned(_bucket_edges(rows, ["key"], cols, shape.reach))
     chunks = (F.floor(F.col("rows") / shape.chunk) + 1).cast("int")
     marked = rows.join(hot.withColumn("chunks", chunks).drop("rows"), "key", "left")
     cool = marked.where("chunks is null").select("key", *cols)
@@ -260,7 +279,7 @@ def links(points: DataFrame, shape: Shape) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = own.withColumn("o", other).select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), *cols)
     pairs = _bucket_edges(dealt, ["key", "lo", "hi"], cols, shape.reach)
-    return _bucket_edges(cool, ["key"], cols, shape.reach).union(pairs).distinct()
+    return _thinned(_bucket_edges(cool, ["key"], cols, shape.reach).union(pairs))
 
 
 def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -278,8 +297,8 @@ def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     roots, _ = connected_components(edges.select(key("a").alias("a"), key("b").alias("b")))
     node = F.col("w0") if len(cols) == 1 else F.struct(*[F.col(c) for c in cols])
     labelled = points.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    linked = labelled.join(least, "root").select(*cols, "component_id")
+    least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points"))
+    linked = join_groups(labelled, least, "root", "points", points.count()).select(*cols, "component_id")
     return prints.join(linked, cols).select("doc_id", *cols, "component_id")
 
 
