@@ -223,7 +223,7 @@ def _bucket_edges(rows: DataFrame, group: list[str], cols: list[str], reach: int
 
 def _thinned(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
     """Spanning forests of parts of the edges: every bucket that a group meets in gives a forest of its own, and what
-    they repeat need not be joined again and again."""
+    they repeat need not be joined again and again. A task takes about ``per_task`` edges, however many there are."""
     edges, _ = stored(edges, "simhash-edges")
     cols = edges.columns
 
@@ -236,7 +236,7 @@ def _thinned(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
         if len(held):
             yield pd.DataFrame(held, columns=cols)
 
-    parts = max(8, -(-edges.count() // per_task))
+    parts = max(1, -(-edges.count() // per_task))
     return edges.repartition(parts, *cols).mapInPandas(run, ", ".join(f"{c} long" for c in cols))
 
 
