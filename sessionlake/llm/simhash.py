@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import join_groups, pieces, release, shuffle_partitions, stored, text_rows
 from .components import connected_components
+from .jaccard import kept_ids
 
 
 @dataclass(frozen=True)
@@ -303,11 +304,11 @@ def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 
 
 def near_duplicates_removed(docs: DataFrame, shape: Shape = NEAR) -> DataFrame:
-    """``docs`` without all but one document of each component: the one with the least doc_id. Rows that repeat a
-    doc_id count once. Rows without doc_id can't be told apart and all stay."""
+    """``docs`` without all but one document of each component: the one with the least doc_id. A link is a Jaccard
+    similarity of 0.8 or more of the shingle sets, decided exactly; of ``shape``, words and chunk count. Rows that repeat
+    a doc_id count once. Rows without doc_id can't be told apart and all stay."""
     named = docs.where("doc_id is not null")
-    found = components(named, shape)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
+    keep = kept_ids(named, shape.words, shape.chunk)
     kept = named.join(keep, "doc_id", "left_semi").select(docs.columns)
     repeated = named.groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
