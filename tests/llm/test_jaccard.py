@@ -41,6 +41,22 @@ def test_documents_that_share_a_passage_below_the_threshold_stay(spark):
     assert ids(simhash.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string"))) == {d for d, _ in rows}
 
 
+def pairs(rng, count):
+    for i in range(count):
+        n = rng.choice((9, 14, 49, 150, 800))
+        one = [word(rng) for _ in range(n)]
+        two, at = list(one), n - 1
+        # A changed tail of d words costs d shingles a side: (s - d) / (s + d) >= 0.8 up to s / 9.
+        for k in range((n - 4) // 9):
+            two[at - k] = word(rng)
+        yield [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+
+
+def test_no_pair_at_the_threshold_is_lost(spark):
+    rows = [r for p in pairs(random.Random(2), 400) for r in p]
+    assert ids(simhash.near_duplicates_removed(spark.createDataFrame(rows, "doc_id long, text string"))) == {2 * i for i in range(400)}
+
+
 def test_groups_against_brute_force_whatever_the_chunks(spark):
     rng = random.Random(3)
     rows = []
