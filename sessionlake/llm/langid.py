@@ -107,8 +107,8 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         size = np.uint64(rule.table - 1)
-        total = np.zeros((len(languages), len(rule.orders), rule.table), dtype=np.int64)
-        first = np.zeros((len(rule.orders), rule.table), dtype=np.uint64)
+        total = np.zeros((len(languages), len(rule.orders), rule.table), dtype=np.int32)
+        first = np.full(total.shape, np.iinfo(np.int64).min)  # greatest as signed numbers, as Spark has it
         for frame in pieces(frames):
             for text, lang in zip(frame["text"], frame["lang"]):
                 points = codes(text)
@@ -116,14 +116,12 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
                     h = np.unique(grams(points, order))
                     at = (h & size).astype(np.int64)
                     total[number[lang], k, at] += 1
-                    first[k, at] = np.maximum(first[k, at], h)
+                    np.maximum.at(first[number[lang], k], at, h.view(np.int64))
         for i in range(len(languages)):
             for k in range(len(rule.orders)):
                 at = np.flatnonzero(total[i, k])
-                # What no two of a task's documents share is not frequent in the language.
-                at = at[total[i, k, at] > 1]
                 if len(at):
-                    yield pd.DataFrame({"lang": i, "k": k, "slot": at, "n": total[i, k, at], "h": first[k, at].view(np.int64)})
+                    yield pd.DataFrame({"lang": i, "k": k, "slot": at, "n": total[i, k, at], "h": first[i, k, at]})
 
     counts = sample.mapInPandas(run, "lang int, k int, slot int, n long, h long").groupBy("lang", "k", "slot").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
     from pyspark.sql.window import Window

@@ -53,3 +53,9 @@ def test_more_languages_than_a_byte_holds(spark):
     model = langid.fit(frame)
     assert len(model.filters) == 2
     assert all(r["lang_pred"] == f"l{r['doc_id'] % 12:02d}" for r in langid.identify(frame, model).collect())
+
+
+def test_counts_do_not_depend_on_the_partitions(documents):
+    sample = documents.where("doc_id % 20 = 0")
+    one, many = langid.fit(sample.coalesce(1)), langid.fit(sample.repartition(60, "doc_id"))
+    assert one.filters.any() and (one.filters == many.filters).all()
