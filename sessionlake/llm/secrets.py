@@ -4,8 +4,9 @@ A candidate is a maximal run of at least ``shortest`` characters of the secret a
 characters slides over it; counts per character, kept for each class of characters, change by one character in and one
 out, so a step costs a constant. A window counts where the entropy of a class's characters in it reaches that class's
 threshold and the class fills most of the window. Neighbouring windows that count merge into one span. Allow-listed
-candidates (all letters of one case, digests named as such, UUIDs, repeated or ascending characters, words joined by
-separators, placeholders) give none, and spans that touch one of the fixed patterns are left to it.
+candidates (all letters of one case, digests named as such, UUIDs, ascending characters, words joined by separators,
+placeholders) give none; repeated characters are for the windows' entropy to tell. Spans that touch one of the fixed
+patterns are left to it.
 """
 
 from __future__ import annotations
@@ -59,7 +60,7 @@ def allowed(candidate: str, before: str = "") -> bool:
     digits = sum(c.isdigit() for c in candidate)
     if not digits and (candidate.islower() or candidate.isupper() or len({c.islower() for c in letters}) < 2):
         return True
-    if not letters or len(set(candidate)) <= max(4, len(candidate) // 8):
+    if not letters:
         return True
     if _UUID.fullmatch(candidate) or _PLACEHOLDER.search(candidate) or _DIGEST.search(before):
         return True
@@ -76,7 +77,7 @@ def window_spans(candidate: str, rule: Entropy = Entropy()) -> list[tuple[int, i
     if n < width:
         return []
     # -(c / m) log2(c / m) summed over characters is log2(m) - sum(c log2 c) / m: one sum a class is all that's kept.
-    part = [0.0] + [c * math.log2(c) for c in range(1, width + 1)]
+    part = [0.0] + [c * math.log2(c) for c in range(1, width + 2)]  # one comes in before one goes out
     kinds = _classes(rule)
     member = {c: tuple(k for k, (chars, _) in enumerate(kinds) if c in chars) for c in set(candidate)}
     counts: dict[str, int] = {}

@@ -81,3 +81,13 @@ def test_awkward_rows(awkward, nothing):
     assert one[3]["base_sha256"] == one[4]["base_sha256"] == empty and one[3]["spans"] == ""
     assert (one[11]["n_assign"], one[11]["n_access"], one[11]["n_hex"]) == (1, 1, 1)
     assert secrets.secrets(nothing).count() == 0
+
+
+def test_long_random_runs_are_found_at_any_length():
+    rng = random.Random(3)
+    for alphabet in ("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "0123456789ABCDEF"):
+        for n in (100, 128, 512):
+            text = "see " + "".join(rng.choice(alphabet) for _ in range(n)) + " here"
+            spans = [(a, b) for k, a, b in secrets.scan(text) if k == "entropy"]
+            assert sum(b - a for a, b in spans) > 0.9 * n, (alphabet, n)
+    assert secrets.scan("x" + "AB1" * 300) == [] and secrets.scan("Z" * 900 + "1") == []
