@@ -5,8 +5,8 @@ characters slides over it; counts per character, kept for each class of characte
 out, so a step costs a constant. A window counts where the entropy of a class's characters in it reaches that class's
 threshold and the class fills most of the window. Neighbouring windows that count merge into one span. Allow-listed
 candidates (all letters of one case, digests named as such, UUIDs, ascending characters, words joined by separators,
-placeholders) give none; repeated characters are for the windows' entropy to tell. Spans that touch one of the fixed
-patterns are left to it.
+placeholders) give none; repeated characters are for the windows' entropy to tell. What one of the fixed
+patterns covers is left to it.
 """
 
 from __future__ import annotations
@@ -104,6 +104,19 @@ def window_spans(candidate: str, rule: Entropy = Entropy()) -> list[tuple[int, i
     return spans
 
 
+def beside(candidate: str, a: int, b: int, taken: list[tuple[int, int]], rule: Entropy = Entropy()) -> list[tuple[int, int]]:
+    """What of a merged span no taken span covers: the span itself if none touches it, else the windows that count in
+    the pieces left between."""
+    over = sorted((x, y) for x, y in taken if a < y and x < b)
+    if not over:
+        return [(a, b)]
+    out, at = [], a
+    for x, y in [*over, (b, b)]:
+        out += [(at + u, at + v) for u, v in window_spans(candidate[at : max(at, x)], rule)]
+        at = max(at, y)
+    return out
+
+
 def scan(text: str | None, rule: Entropy = Entropy()) -> list[tuple[str, int, int]]:
     """(kind, start, end) in code points, by start, then kind as listed. Null and empty texts have none."""
     if not text:
@@ -126,8 +139,7 @@ def scan(text: str | None, rule: Entropy = Entropy()) -> list[tuple[str, int, in
         start = len(raw[:at].decode())
         if not allowed(candidate, text[max(0, start - 24) : start]):
             for a, b in window_spans(candidate, rule):
-                if not any(a + start < y and x < b + start for _, x, y in base):
-                    found.append(("entropy", start + a, start + b))
+                found += [("entropy", start + x, start + y) for x, y in beside(candidate, a, b, [(x - start, y - start) for _, x, y in base], rule)]
         at = runs.find(b"x" * rule.shortest, end)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
