@@ -3,8 +3,8 @@
 Every word is predicted from the words on both sides of it, itself masked. Words are hashed into buckets; the buckets'
 counts over the whole corpus decide which get a token of their own, the rest share tokens. A token is predicted in two
 steps, its class and then the token within the class, so that the probabilities sum to one over all tokens at the cost
-of two short vectors. Training is local descent: each task trains a copy on positions drawn from all documents it
-reads, and the copies are averaged chunk by chunk, in two levels, weighted by positions; a few rounds of this follow
+of two short vectors. Training is local descent: each task trains a copy on the documents it reads, every position
+in one of the rounds at least, and the copies are averaged chunk by chunk, in two levels, weighted by positions; a few rounds of this follow
 each other. Document scores are the summed log-probabilities of all tokens.
 """
 
@@ -26,7 +26,7 @@ from .common import pieces, stored, text_rows
 class Rule:
     """``buckets``: hash buckets of words; ``own``: tokens for the most frequent of them; ``shared``: tokens that the
     rest share; ``classes``; ``side``: words seen on each side; ``dim``: width of the network; ``rounds``: of training;
-    ``stride``: one position in so many is trained on, another one each round; ``batch``, ``rate``: of a step."""
+    ``stride``: one position in so many is trained on, another one each round, all of them in the end; ``batch``, ``rate``: of a step."""
 
     buckets: int = 1 << 16
     own: int = 1792
@@ -35,12 +35,16 @@ class Rule:
     side: int = 2
     dim: int = 32
     rounds: int = 2
-    stride: int = 16
+    stride: int = 2
     batch: int = 2048
     rate: float = 0.15
     chunks: int = 32
     seed: int = 11
 
+    def __post_init__(self) -> None:
+        if self.stride > self.rounds:
+            raise ValueError("the rounds must cover every position: stride must not exceed rounds")
+
     @property
     def tokens(self) -> int:
         return self.own + self.shared
@@ -227,6 +231,11 @@ def _batches(frames: Iterator[pd.DataFrame], token: np.ndarray, rule: Rule) -> I
         yield frame, np.concatenate(own).astype(np.int32), np.cumsum([len(x) for x in own])
 
 
+def picked(n: int, at: int, rule: Rule) -> np.ndarray:
+    """The positions of a piece that a round trains on; all rounds together take every one."""
+    return np.arange(at % rule.stride, n, rule.stride)
+
+
 def train(docs: DataFrame, token: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
     spark = docs.sparkSession
     w = new_weights(rule)
@@ -252,7 +261,7 @@ def train(docs: DataFrame, token: np.ndarray, rule: Rule) -> dict[str, np.ndarra
             for _, ids, ends in _batches(frames, token, rule):
                 if len(ids):
                     contexts = _contexts(ids, ends, rule)
-                    pick = np.arange((at * rule.stride // rule.rounds) % rule.stride, len(ids), rule.stride)
+                    pick = picked(len(ids), at, rule)
                     held_ids.append(ids[pick])
                     held_contexts.append(contexts[:, pick])
                     seen += learn(False)

@@ -82,3 +82,11 @@ def test_awkward_rows(awkward, nothing):
     assert found[8]["n_tokens"] == 30_000 and found[8]["log_prob"] < 0
     assert pl.scored(awkward, RULE).count() == awkward.count()
     assert pl.scored(nothing, RULE).count() == 0
+
+
+def test_the_rounds_train_on_every_position():
+    rule = pl.Rule()
+    for n in (1, 5, 1001):
+        assert set(np.concatenate([pl.picked(n, at, rule) for at in range(rule.rounds)]).tolist()) == set(range(n))
+    with pytest.raises(ValueError):
+        pl.Rule(rounds=2, stride=16)
