@@ -57,8 +57,8 @@ def unframed(source: BinaryIO) -> Iterator[bytes]:
         yield body[:size]
 
 
-#: Fixed value: where byte-level BPE of this kind cuts a text.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Every character that some version of Unicode or some library takes for white space, or once did.
+_BLANK = "\t-\r\x1c-\x20\x85\xa0\u1680\u180e\u2000-\u200f\u2028-\u202f\u205f-\u2064\u3000\ufeff"
 
 
 def _byte_letters() -> dict[int, str]:
@@ -71,77 +71,68 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Encodes whole texts by a file of the tokenizers library, with the ids of ``encode(add_special_tokens=False)``.
 
-    The library encodes each stretch of text once and the result is kept, up to ``most`` stretches a process. A stretch
-    begins at a space that precedes something other than white space, where the byte-level pattern always cuts. On
-    tokenizers of another kind, and on texts that hold added tokens or rare control characters, the library gets the
-    text whole.
+    A tokenizer of the byte-level kind cuts a text by a pattern before it merges bytes, and a space between two
+    characters that nobody takes for white space always begins a piece: no part of the pattern goes on over such a
+    space, and none looks behind. So the ids of a text are those of its stretches, cut there, one after the other. A
+    stretch of ASCII (its printable characters and white space) and Latin letters alone is cut on into the pattern's
+    pieces, since no version of Unicode differs on these characters; the library's model merges each piece once and the
+    result is kept, up to ``most`` short pieces and stretches a process. The library gets all other stretches as they are, and texts that hold added tokens, or all texts where
+    the tokenizer is of another kind, whole.
     """
 
-    #: Control characters of which libraries differ on whether they are white space.
-    ODD = "\x1c\x1d\x1e\x1f\x85᠎​"
-
-    def __init__(self, path: str, most: int = 500_000) -> None:
+    def __init__(self, path: str, most: int = 400_000) -> None:
         import os
         import re
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         state = json.loads(self.library.to_str())
         pre = state.get("pre_tokenizer") or {}
         self.added = [t["content"] for t in state.get("added_tokens", [])]
-        self.plain = state["model"].get("type") == "BPE" and not state.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
-        self.plain = self.plain and not any(state["model"].get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges"))
+        self.cuts = state["model"].get("type") == "BPE" and not state["model"].get("dropout") and not state.get("normalizer") and pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
         self.width = 2 if self.library.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.width == 2 else "<u4")
-        self.letters = _byte_letters()
         self.most = most
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.pattern = regex.compile(PATTERN)
-        self.before_space = re.compile(r" \s")
-        self.cut = re.compile(r" (?=\S)")
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        found = self.words.get(word)
-        if found is None:
-            raw = word.encode().decode("latin-1").translate(self.letters)
-            found = np.array([t.id for t in self.library.model.tokenize(raw)], dtype=self.kind).tobytes()
-            if len(self.words) < self.most and len(word) <= 32:
-                self.words[word] = found
-        return found
+        # Fixed value: the pieces of byte-level BPE, over characters whose kind no version of Unicode changes.
+        letters = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+        self.settled = re.compile(f"[\t-\r -~{letters}]+").fullmatch
+        self.pieces = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
+        self.letters, self.model = _byte_letters(), self.library.model
+        self.cut = re.compile(f" (?<=[^{_BLANK}] )(?=[^{_BLANK}])")
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _keep(self, part: str, ids: bytes) -> bytes:
+        if len(self.known) < self.most and len(part) <= 32:
+            self.known[part] = ids
+        return ids
+
+    def _piece(self, piece: str) -> bytes:
+        plain = piece.isascii() and piece.isprintable()  # only the space is then written otherwise
+        raw = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
+        return self._keep(piece, b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(raw)]))
 
     def _stretch(self, stretch: str) -> bytes:
-        return self._word(stretch) if stretch.lstrip(" ").isalpha() else b"".join([self._word(w) for w in self.pattern.findall(stretch)])
-
-    def _miss(self, part: str) -> bytes:
-        out = self._stretch(part)
-        if len(self.known) < self.most and len(part) <= 64:
-            self.known[part] = out
-        return out
+        if not self.settled(stretch):
+            return self._keep(stretch, self._batch([stretch])[0])
+        pieces = self.pieces(stretch)
+        if len(pieces) == 1:
+            return self._piece(stretch)
+        return self._keep(stretch, b"".join([self.known.get(p) or self._piece(p) for p in pieces]))
 
     def encode(self, text: str | None) -> bytes:
         """The ids, ``width`` bytes each."""
         if not text:
             return b""
-        if not self.plain or any(t in text for t in self.added) or any(c in text for c in self.ODD):
-            return self._whole(text)
-        parts = self.cut.split(text) if self.before_space.search(text) else text.split(" ")
-        first, known, out = parts[0], self.known, []
-        if first:
-            out.append(known.get(first) or self._miss(first))
-        if len(parts) > 1 and not parts[-1]:  # the text ends with a space that stands alone
-            tail = parts.pop()
-            rest = [known.get(p) or self._miss(p) for p in [" " + x for x in parts[1:]]]
-            return b"".join(out + rest) + self._whole(" " + tail)
-        rest = [" " + x for x in parts[1:]]
-        out += [known.get(p) or self._miss(p) for p in rest]
-        return b"".join(out)
+        if not self.cuts or any(t in text for t in self.added):
+            return self._batch([text])[0]
+        known, stretch = self.known.get, self._stretch
+        first, *rest = self.cut.split(text)
+        return b"".join([known(p) or stretch(p) for p in [first, *[" " + x for x in rest]] if p])
 
 
 _ENCODERS: dict[str, Encoder] = {}
