@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import shuffle_partitions, stored
+from .common import send, shuffle_partitions, stored
 
 
 @dataclass(frozen=True)
@@ -195,7 +195,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rule: Rule = Rul
     drawn = rows.where(draw < min(1.0, rule.sample / sizes["count"])).orderBy("id").limit(2 * rule.sample)
     x = np.array([r["v"] for r in drawn.select("v").collect()], dtype=np.float64).reshape(-1, sizes["d"])
     router = train(x, rule)
-    sent = spark.sparkContext.broadcast(router)
+    sent = send(spark, router)
 
     def assign(probes: int, copies: int):  # noqa: ANN202
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

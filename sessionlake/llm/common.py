@@ -6,7 +6,8 @@ import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Used only where the session names no checkpoint folder (tests on one machine).
@@ -29,13 +30,42 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{scratch_root(spark)}/sessionlake/{name}-{uuid.uuid4().hex}"
 
 
+#: What was made since the last step ended: paths of scratch tables, and broadcasts.
+_MADE: list[str] = []
+_SENT: list[Broadcast] = []
+
+
 def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     """Write ``df`` to the shared folder and read it again: lineage ends here and lost executors cost nothing."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
+def send(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast that :func:`end_step` takes back."""
+    _SENT.append(spark.sparkContext.broadcast(value))
+    return _SENT[-1]
+
+
+def begin_step() -> None:
+    """From here on :func:`end_step` counts. What was made before stays."""
+    _MADE.clear()
+    _SENT.clear()
+
+
+def end_step(spark: SparkSession, *keep: str) -> None:
+    """Delete the scratch tables made in this step, all but ``keep``, and its broadcasts. Only results that were stored
+    may be read after it."""
+    for path in _MADE:
+        if path not in keep:
+            release(spark, path)
+    for sent in _SENT:
+        sent.destroy()
+    begin_step()
+
+
 def release(spark: SparkSession, path: str) -> None:
     """Delete a scratch table that no later plan reads."""
     jvm = spark.sparkContext._jvm
@@ -65,6 +95,11 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     return near.where("_hot is not null").drop("_hot").unionByName(others)
 
 
+def plain(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` by name, whatever characters the names hold."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in docs.columns]
+
+
 def text_rows(docs: DataFrame) -> DataFrame:
     """doc_id and text alone, so that other columns, whatever their names, play no part."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -5,15 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import release, stored
+from .common import join_groups, release, stored
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFrame, list[str]]:
     """Label each node that occurs in ``edges`` (columns a, b of one type) with the least node of its component.
 
     Large-star and small-star rounds (Kiveris et al., 2014) alternate until nothing moves; each round is written to
-    the shared folder. A node's neighbours are only ever reduced to their least, by partial aggregation, so that a
-    hub costs no task more than its share. Self loops, repeated edges and an empty table are allowed.
+    the shared folder. A node's neighbours are only ever reduced to their least, by partial aggregation, and the rows of
+    a hub are joined with that by a broadcast of the few hubs, so that a hub costs no task more than its share. Self
+    loops, repeated edges and an empty table are allowed.
     Returns (node, root) and the scratch paths that the result still reads.
     """
     spark = edges.sparkSession
@@ -22,13 +23,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
     before = None
     for _ in range(max_rounds):
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        total = 2 * now.count()
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("size"))
         # Each neighbour above a node now hangs on the least of that node's neighbourhood.
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = join_groups(both.where("b > a"), least, "a", "size", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large, large_path = stored(large.where("a <> b").distinct(), "cc")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("size"))
         small = (
-            large.join(low, "a")
+            join_groups(large, low, "a", "size", total)
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
@@ -36,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
         )
         new, new_path = stored(small, "cc")
         state = new.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        release(spark, path)
+        for old in (path, large_path):
+            release(spark, old)
         now, path = new, new_path
         if tuple(state) == before:
             break

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, send
 
 UNKNOWN = "und"
 
@@ -135,7 +135,7 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
     filled = np.array([((filters[i // 8] >> (i % 8)) & 1).mean() for i in range(len(languages))])
     model = Model(languages, filters, filled**rule.hashes, np.ones(len(languages)), rule)
     # What share of its n-grams a language's own documents have in the filter: scores become comparable.
-    sent = spark.sparkContext.broadcast(model)
+    sent = send(spark, model)
 
     def own(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames):
@@ -188,7 +188,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, lang_pred, score: a row for each row of ``docs``, from its text alone. Null texts and those without a
     letter are ``und`` with score 0; ties go to the language that sorts first; without a learned language all are
     ``und``."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames):

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_rows
+from .common import plain, send, stored, text_rows
 
 #: Word bytes keep their value, A-Z become a-z, all others a space: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -82,7 +82,7 @@ def build_index(docs: DataFrame, segment_words: int = 1 << 20) -> DataFrame:
 
 def term_counts(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
     """How often each of the wanted terms stands in the whole index. Tasks send sums; ``wanted`` bounds the result."""
-    asked = index.sparkSession.sparkContext.broadcast(wanted)
+    asked = send(index.sparkSession, wanted)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[bytes, int] = {}
@@ -210,7 +210,7 @@ def _block_hits(index: DataFrame, block: dict[tuple[bytes, ...], list[str]]) ->
     for window in block:
         rare = sorted(range(len(window)), key=lambda i: (counts.get(window[i], 0), i))
         order.append(([window[i] for i in rare], rare))
-    asked = spark.sparkContext.broadcast((order, np.array([len(w) for w in block], dtype=np.int64), list(block.values())))
+    asked = send(spark, (order, np.array([len(w) for w in block], dtype=np.int64), list(block.values())))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         order, lengths, ids = asked.value
@@ -305,4 +305,4 @@ def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataF
     """``docs`` without the documents in which a window of a benchmark item stands. Rows that repeat a doc_id stand or
     fall together; rows without doc_id can't be told apart and all stay."""
     bad = contamination(docs, items, window).where(F.size("spans") > 0).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(bad, "doc_id", "left_anti").select(plain(docs))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, text_rows
+from .common import pieces, send, stored, text_rows
 
 
 @dataclass(frozen=True)
@@ -240,7 +240,7 @@ def train(docs: DataFrame, token: np.ndarray, rule: Rule) -> dict[str, np.ndarra
     spark = docs.sparkSession
     w = new_weights(rule)
     for at in range(rule.rounds):
-        sent = spark.sparkContext.broadcast((w, token, at))
+        sent = send(spark, (w, token, at))
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             from pyspark import TaskContext
@@ -299,7 +299,7 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     counts, _ = stored(bucket_counts(docs, rule), "lm-counts")
     token = vocabulary(counts, rule)
     w = train(docs, token, rule)
-    sent = spark.sparkContext.broadcast((w, token))
+    sent = send(spark, (w, token))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Net(sent.value[0], rule)

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_groups, pieces, release, shuffle_partitions, stored, text_rows
+from .common import join_groups, pieces, plain, release, shuffle_partitions, stored, text_rows
 from .components import connected_components
 from .jaccard import kept_ids
 
@@ -119,22 +119,29 @@ def forest(points: np.ndarray, reach: int) -> list[tuple[int, int]]:
     return edges
 
 
-def _spanning(edges: np.ndarray) -> np.ndarray:
-    """Those of the edges (rows: two points) that join what the ones before left apart."""
+def stars(edges: np.ndarray) -> np.ndarray:
+    """Edges (rows: two points) made canonical: from the least point of each component to each of its others. Whichever
+    of a group's buckets give them, equal parts of a group give equal edges, and repeats can be dropped."""
     half = edges.shape[1] // 2
-    points, number = np.unique(np.concatenate((edges[:, :half], edges[:, half:])), axis=0, return_inverse=True)
-    number = number.reshape(-1)
-    up = list(range(len(points)))
-    keep = []
-    for k, (x, y) in enumerate(zip(number[: len(edges)].tolist(), number[len(edges) :].tolist())):
-        while up[x] != x:
-            up[x] = x = up[up[x]]
-        while up[y] != y:
-            up[y] = y = up[up[y]]
-        if x != y:
-            up[y] = x
-            keep.append(k)
-    return edges[keep]
+    points = np.concatenate((edges[:, :half], edges[:, half:]))
+    order = np.lexsort(points.T[::-1])
+    ranked = points[order]
+    new = np.concatenate(([True], (ranked[1:] != ranked[:-1]).any(axis=1)))
+    number = np.empty(len(points), dtype=np.int64)
+    number[order] = np.cumsum(new) - 1
+    distinct = ranked[new]
+    a, b = number[: len(edges)], number[len(edges) :]
+    root = np.arange(len(distinct))
+    while True:
+        least = np.minimum(root[a], root[b])
+        was = root.copy()
+        for end in (a, b):
+            np.minimum.at(root, root[end], least)  # the roots themselves are joined
+        root = np.minimum(root, root[root])
+        if (root == was).all():
+            break
+    leaf = np.flatnonzero(root != np.arange(len(distinct)))
+    return np.concatenate((distinct[root[leaf]], distinct[leaf]), axis=1)
 
 
 def _bucket_pairs(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, reach: int, small: int = 64) -> list[np.ndarray]:
@@ -202,7 +209,7 @@ def _bucket_edges(rows: DataFrame, group: list[str], cols: list[str], reach: int
         def solved(values: np.ndarray, bounds: np.ndarray) -> Iterator[pd.DataFrame]:
             found = _bucket_pairs(np.ascontiguousarray(values[:, len(group) :]), bounds[:-1], bounds[1:], reach)
             if found:
-                yield pd.DataFrame(_spanning(np.concatenate(found)), columns=named)
+                yield pd.DataFrame(stars(np.concatenate(found)), columns=named)
 
         for frame in frames:
             values = frame[group + cols].to_numpy(dtype=np.int64)
@@ -222,25 +229,6 @@ def _bucket_edges(rows: DataFrame, group: list[str], cols: list[str], reach: int
     return rows.repartition(n, *group).sortWithinPartitions(*group).mapInPandas(run, schema)
 
 
-def _thinned(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
-    """Spanning forests of parts of the edges: every bucket that a group meets in gives a forest of its own, and what
-    they repeat need not be joined again and again. A task takes about ``per_task`` edges, however many there are."""
-    edges, _ = stored(edges, "simhash-edges")
-    cols = edges.columns
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = np.zeros((0, len(cols)), dtype=np.int64)
-        for frame in frames:
-            held = np.concatenate((held, frame[cols].to_numpy(dtype=np.int64)))
-            if len(held):
-                held = _spanning(held)
-        if len(held):
-            yield pd.DataFrame(held, columns=cols)
-
-    parts = max(1, -(-edges.count() // per_task))
-    return edges.repartition(parts, *cols).mapInPandas(run, ", ".join(f"{c} long" for c in cols))
-
-
 def _hot(points: DataFrame, shape: Shape) -> DataFrame:
     """key, rows: the buckets that may hold more than ``shape.chunk`` points.
 
@@ -271,7 +259,7 @@ def links(points: DataFrame, shape: Shape) -> DataFrame:
     hot, hot_path = stored(_hot(points, shape), "simhash-hot")
     if hot.isEmpty():
         release(spark, hot_path)
-        return _thinned(_bucket_edges(rows, ["key"], cols, shape.reach))
+        return _bucket_edges(rows, ["key"], cols, shape.reach).distinct()
     chunks = (F.floor(F.col("rows") / shape.chunk) + 1).cast("int")
     marked = rows.join(hot.withColumn("chunks", chunks).drop("rows"), "key", "left")
     cool = marked.where("chunks is null").select("key", *cols)
@@ -280,7 +268,7 @@ def links(points: DataFrame, shape: Shape) -> DataFrame:
     other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     dealt = own.withColumn("o", other).select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), *cols)
     pairs = _bucket_edges(dealt, ["key", "lo", "hi"], cols, shape.reach)
-    return _thinned(_bucket_edges(cool, ["key"], cols, shape.reach).union(pairs))
+    return _bucket_edges(cool, ["key"], cols, shape.reach).union(pairs).distinct()
 
 
 def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
@@ -308,11 +296,15 @@ def near_duplicates_removed(docs: DataFrame, shape: Shape = NEAR) -> DataFrame:
     similarity of 0.8 or more of the shingle sets, decided exactly; of ``shape``, words and chunk count. Rows that repeat
     a doc_id count once. Rows without doc_id can't be told apart and all stay."""
     named = docs.where("doc_id is not null")
+    columns = plain(docs)
     keep = kept_ids(named, shape.words, shape.chunk)
-    kept = named.join(keep, "doc_id", "left_semi").select(docs.columns)
+    kept = named.join(keep, "doc_id", "left_semi").select(columns)
     repeated = named.groupBy("doc_id").count().where("count > 1")
     if not repeated.isEmpty():
         twice, _ = stored(repeated.select("doc_id"), "simhash-repeated")
-        once = kept.join(twice, "doc_id", "left_anti").select(docs.columns)
-        kept = once.union(kept.join(twice, "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"]))
+        once = kept.join(twice, "doc_id", "left_anti").select(columns)
+        again = kept.join(twice, "doc_id", "left_semi").select("doc_id", F.struct(columns).alias("row"))
+        # The one whose hash over text and all columns is least: the same in any run.
+        seen = again.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64(F.to_json("row")))).alias("row"))
+        kept = once.union(seen.select([F.col("row")[c].alias(c) for c in docs.columns]))
     return kept.union(docs.where("doc_id is null"))

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored
+from .common import pieces, send, stored
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -242,7 +242,7 @@ def fit(labelled: DataFrame, rule: Rule = Rule(), sizes: dict[int, int] | None =
     often = holders.agg(F.sum("n").alias("n"), *columns).where(F.col("n") >= rule.least).drop("n").toPandas().sort_values("word")  # of the bounded sample
     number = {w: i for i, w in enumerate(often["word"])}
     held = often.drop(columns="word").to_numpy(dtype=np.float64).reshape(len(often), rule.folds, 2)
-    sent = spark.sparkContext.broadcast(number)
+    sent = send(spark, number)
 
     def known(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames):
@@ -285,7 +285,7 @@ def learn(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), evidence (ids of the nearest labelled examples): a row for each row of ``docs``, from
     its whole text alone. Null and empty texts have no term and get the rate of the label among such examples."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames):
@@ -297,7 +297,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 def score_column(docs: DataFrame, model: Model) -> Column:
     """The score as a column over ``docs``, for filters that keep the other columns as they are."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = send(docs.sparkSession, model)
 
     @F.pandas_udf("double")
     def score(text: pd.Series) -> pd.Series:

@@ -20,8 +20,8 @@ ROWS = [
 @pytest.fixture(scope="session")
 def awkward(spark):
     """Columns of documents, and others named like what operators make."""
-    rows = [(*r, None if r[1] is None else len(r[1]), "x", 1.5, 7) for r in ROWS]
-    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, score double, count int")
+    rows = [(*r, None if r[1] is None else len(r[1]), "x", 1.5, 7, "dot", "tick", 3) for r in ROWS]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, key string, score double, count int, `a.b` string, `c``d` string, _mix_of_source int")
 
 
 @pytest.fixture(scope="session")

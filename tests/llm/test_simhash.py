@@ -79,8 +79,7 @@ def test_hot_buckets_are_split_without_losing_links(spark):
     expected = roots(nodes, [(a, b) for a, b in itertools.combinations(nodes, 2) if (a ^ b).bit_count() <= 4])
     for chunk in (20, 8192):
         edges = [(r["a0"] & (2**64 - 1), r["b0"] & (2**64 - 1)) for r in simhash.links(frame, Shape(chunk=chunk)).collect()]
-        assert all((a ^ b).bit_count() <= 4 for a, b in edges)
-        assert roots(nodes, edges) == expected
+        assert roots(nodes, edges) == expected  # edges are stars of what links
 
 
 def test_awkward_rows(awkward, nothing):
