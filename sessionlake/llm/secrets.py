@@ -11,6 +11,7 @@ patterns covers is left to it.
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections.abc import Iterator
@@ -131,15 +132,20 @@ def scan(text: str | None, rule: Entropy = Entropy()) -> list[tuple[str, int, in
     if b"h" * 16 in raw.translate(_HEX_RUN):
         found += [("hex", m.start(), m.end()) for m in _HEX.finditer(text) if m.end() - m.start() >= 16]
     runs = raw.translate(_SECRET_RUN)
-    at, base = runs.find(b"x" * rule.shortest), list(found)
+    at, base = runs.find(b"x" * rule.shortest), sorted((x, y) for _, x, y in found)
+    reach = list(itertools.accumulate((y for _, y in base), max))
+    past, start, first = 0, 0, 0  # bytes read so far, their code points, base spans that end before the candidate
     while at >= 0:
         end = runs.find(b" ", at)
         end = len(runs) if end < 0 else end
         candidate = raw[at:end].decode()
-        start = len(raw[:at].decode())
+        start, past = start + len(raw[past:at].decode()), at
+        while first < len(base) and reach[first] <= start:
+            first += 1
         if not allowed(candidate, text[max(0, start - 24) : start]):
+            taken = [(x - start, y - start) for x, y in itertools.takewhile(lambda s: s[0] < start + len(candidate), base[first:])]
             for a, b in window_spans(candidate, rule):
-                found += [("entropy", start + x, start + y) for x, y in beside(candidate, a, b, [(x - start, y - start) for _, x, y in base], rule)]
+                found += [("entropy", start + x, start + y) for x, y in beside(candidate, a, b, taken, rule)]
         at = runs.find(b"x" * rule.shortest, end)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 

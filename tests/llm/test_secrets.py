@@ -1,6 +1,7 @@
 import hashlib
 import math
 import random
+import string
 import re
 from collections import Counter
 
@@ -101,3 +102,16 @@ def test_a_secret_beside_a_fixed_pattern_is_found():
         assert any(k == "entropy" and a <= at + 1 and b >= at + len(secret) - 1 for k, a, b in spans), spans
         fixed = [(a, b) for k, a, b in spans if k != "entropy"]
         assert fixed and not any(a < y and x < b for k, a, b in spans if k == "entropy" for x, y in fixed)
+
+
+def test_time_is_linear_in_the_text():
+    import time
+
+    rng = random.Random(8)
+    one = "".join(f"ü word {''.join(rng.choice(string.ascii_letters + string.digits) for _ in range(24))} password=Abcdef123456{i} " for i in range(4000))
+    began = time.process_time()
+    short = secrets.scan(one)
+    middle = time.process_time()
+    long = secrets.scan(one * 8)
+    assert len(long) == 8 * len(short) and time.process_time() - middle < 30 * (middle - began)
+    assert [(k, a + 7 * len(one), b + 7 * len(one)) for k, a, b in short] == long[-len(short) :]
