@@ -305,8 +305,10 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
         net = Net(sent.value[0], rule)
         for frame, ids, ends in _batches(frames, sent.value[1], rule):
             p = net.log_probs(ids, _contexts(ids, ends, rule)) if len(ids) else np.zeros(0)
-            sums = np.diff(np.concatenate(([0.0], np.cumsum(p)))[ends], prepend=0.0)
             n = np.diff(ends, prepend=0)
+            sums = np.zeros(len(n))  # of each document by itself: equal texts get equal sums
+            if len(ids):
+                sums[n > 0] = np.add.reduceat(p, (ends - n)[n > 0])
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_tokens": n, "log_prob": sums, "mean_log_prob": pd.Series(np.where(n > 0, sums / np.maximum(n, 1), np.nan)).astype(object).where(n > 0, None)})
 
     return text_rows(docs).mapInPandas(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
