@@ -26,14 +26,13 @@ UNKNOWN = "und"
 class Rule:
     """``orders``: lengths of n-grams in characters; ``slots``: of the filter; ``hashes``: slots read for an n-gram;
     ``kept``: n-grams of each order and language; ``sample``: most documents of a language that are learned from,
-    chosen by a hash of their id; ``table``: counters of the n-gram counts."""
+    chosen by a hash of their id."""
 
     orders: tuple[int, ...] = (2, 3, 4)
     slots: int = 1 << 18
     hashes: int = 2
     kept: int = 1500
     sample: int = 4000
-    table: int = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -71,7 +70,7 @@ def _letters(points: np.ndarray) -> np.ndarray:
 
 
 def grams(points: np.ndarray, order: int) -> np.ndarray:
-    """A 64-bit hash of each n-gram that does not begin and end outside a word."""
+    """A 64-bit hash of each n-gram."""
     n = len(points) - order + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
@@ -90,8 +89,9 @@ def _slots(h: np.ndarray, rule: Rule) -> list[np.ndarray]:
 def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
     """Learn from ``labelled`` (doc_id, text, lang). Rows whose lang or text is null teach nothing.
 
-    At most about ``rule.sample`` documents of each language are read, chosen by a hash of their id. Tasks send tables
-    of ``rule.table`` counters a language and order; n-grams are known by their hash alone.
+    At most about ``rule.sample`` documents of each language are read, chosen by a hash of their id. Tasks send the
+    document counts of all n-grams, known by 64-bit hashes; the most frequent are chosen from the sums, so the model is
+    the same whatever the partitions.
     """
     spark = labelled.sparkSession
     rows = labelled.where("lang is not null and text is not null").select("doc_id", "text", "lang")
@@ -106,27 +106,19 @@ def fit(labelled: DataFrame, rule: Rule = Rule()) -> Model:
     number = {k: i for i, k in enumerate(languages)}
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        size = np.uint64(rule.table - 1)
-        total = np.zeros((len(languages), len(rule.orders), rule.table), dtype=np.int32)
-        first = np.full(total.shape, np.iinfo(np.int64).min)  # greatest as signed numbers, as Spark has it
-        for frame in pieces(frames):
-            for text, lang in zip(frame["text"], frame["lang"]):
-                points = codes(text)
+        for frame in pieces(frames, 2_000_000):
+            for lang, texts in frame.groupby("lang")["text"]:
+                points = [codes(t) for t in texts]
                 for k, order in enumerate(rule.orders):
-                    h = np.unique(grams(points, order))
-                    at = (h & size).astype(np.int64)
-                    total[number[lang], k, at] += 1
-                    np.maximum.at(first[number[lang], k], at, h.view(np.int64))
-        for i in range(len(languages)):
-            for k in range(len(rule.orders)):
-                at = np.flatnonzero(total[i, k])
-                if len(at):
-                    yield pd.DataFrame({"lang": i, "k": k, "slot": at, "n": total[i, k, at], "h": first[i, k, at]})
-
-    counts = sample.mapInPandas(run, "lang int, k int, slot int, n long, h long").groupBy("lang", "k", "slot").agg(F.sum("n").alias("n"), F.max("h").alias("h"))
+                    h, n = np.unique(np.concatenate([np.unique(grams(p, order)) for p in points]), return_counts=True)
+                    if len(h):
+                        yield pd.DataFrame({"lang": number[lang], "k": k, "h": h.view(np.int64), "n": n})
+
+    # Of a bounded sample; summed up before anything is left out.
+    counts = sample.mapInPandas(run, "lang int, k int, h long, n long").groupBy("lang", "k", "h").agg(F.sum("n").alias("n"))
     from pyspark.sql.window import Window
 
-    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "slot"))).where(F.col("r") <= rule.kept)
+    best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang", "k").orderBy(F.desc("n"), "h"))).where(F.col("r") <= rule.kept)
     filters = np.zeros((bytes_each, rule.slots), dtype=np.uint8)
     for r in best.select("lang", "h").toLocalIterator():
         h = np.array([r["h"]], dtype=np.int64).view(np.uint64)

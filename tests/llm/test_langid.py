@@ -18,7 +18,7 @@ def test_held_out_accuracy(spark, documents):
 
 def test_filters_against_sets(spark, documents):
     """With a filter that is hardly filled, the corrected shares are those of plain sets of n-grams."""
-    rule = langid.Rule(orders=(3,), slots=1 << 20, kept=200, table=1 << 18)
+    rule = langid.Rule(orders=(3,), slots=1 << 20, kept=200)
     model = langid.fit(documents.where("doc_id % 2 = 0"), rule)
     texts = [(r["lang"], r["text"]) for r in documents.where("doc_id % 2 = 0").collect()]
     counts = {k: {} for k in model.languages}
@@ -31,7 +31,7 @@ def test_filters_against_sets(spark, documents):
         p = langid.codes(text)
         grams = [tuple(p[i : i + 3].tolist()) for i in range(len(p) - 2)]
         plain = np.array([sum(g in sets[k] for g in grams) / len(grams) for k in model.languages])
-        assert np.abs(plain - langid.shares(text, model)).max() < 0.12
+        assert np.abs(plain - langid.shares(text, model)).max() < 0.02
 
 
 def test_awkward_rows(spark, awkward, nothing):
@@ -57,5 +57,7 @@ def test_more_languages_than_a_byte_holds(spark):
 
 def test_counts_do_not_depend_on_the_partitions(documents):
     sample = documents.where("doc_id % 20 = 0")
-    one, many = langid.fit(sample.coalesce(1)), langid.fit(sample.repartition(60, "doc_id"))
-    assert one.filters.any() and (one.filters == many.filters).all()
+    one = langid.fit(sample.coalesce(1))
+    assert one.filters.any()
+    for n in (32, 300):  # 300: a task has one document at most
+        assert (one.filters == langid.fit(sample.repartition(n, "doc_id")).filters).all()
