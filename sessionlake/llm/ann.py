@@ -180,7 +180,8 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rule: Rule = Rul
 
     The router is fitted on at most ``rule.sample`` vectors, chosen by a hash of their id; every vector is indexed.
     Vectors that are null, zero, or hold a null or non-finite component take no part on either side, nor do those of
-    another length than the most common one. Copies are ranked by id; rows that repeat an id count once.
+    another length than the most common one. Copies are ranked by id; rows that repeat an id count once, with the vector
+    that sorts first.
     """
     spark = vectors.sparkSession
     n = shuffle_partitions(spark)
@@ -189,7 +190,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rule: Rule = Rul
     if sizes is None:
         return spark.createDataFrame([], schema)
     rows = usable(vectors, id_col, vector_col).where(F.size("v") == sizes["d"])
-    asked = usable(queries, id_col, vector_col).where(F.size("v") == sizes["d"]).dropDuplicates(["id"])
+    asked = usable(queries, id_col, vector_col).where(F.size("v") == sizes["d"]).groupBy("id").agg(F.min("v").alias("v"))
     draw = F.pmod(F.xxhash64("id", F.lit("ann")), F.lit(1 << 20)) / float(1 << 20)
     # Twice the sample's expected size at most: the bound on what the driver gets.
     drawn = rows.where(draw < min(1.0, rule.sample / sizes["count"])).orderBy("id").limit(2 * rule.sample)
@@ -211,7 +212,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, rule: Rule = Rul
 
         return run
 
-    rows = rows.dropDuplicates(["id"])
+    rows = rows.groupBy("id").agg(F.min("v").alias("v"))
     indexed, _ = stored(rows.mapInPandas(assign(1, 1), "part int, id long, v array<double>"), "ann-index")
     routed, _ = stored(asked.mapInPandas(assign(rule.probes, 1), "part int, id long, v array<double>"), "ann-queries")
     # Blocks of candidates and of queries by a hash of the id; every pair of blocks of a part is one group.
