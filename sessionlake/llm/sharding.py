@@ -152,9 +152,9 @@ def sharded(docs: DataFrame, n: int = 8) -> DataFrame:
         F.md5(raw).alias("text_key"),
     )
     rows, _ = stored(rows, "shard-rows")
-    same = Window.partitionBy("doc_id").orderBy("text_key", "size")
-    keyed = rows.withColumn("copy", F.row_number().over(same)).withColumn("id", F.struct("doc_id", "copy"))
+    same = Window.partitionBy("doc_id", "text_key").orderBy("size")  # only whole repeats of a row share a task
+    keyed = rows.withColumn("copy", F.row_number().over(same)).withColumn("id", F.struct("doc_id", "text_key", "copy"))
     found, _ = shards(keyed.select("id", "size", "text_crc32", F.col("text_key").alias("hub")), n)
-    flat = found.select(F.col("id.doc_id").alias("doc_id"), F.col("id.copy").alias("copy"), "size", "text_crc32", "shard")
-    slots = numbered(flat, ["shard"], ["doc_id", "copy"], "slot")
+    flat = found.select(F.col("id.doc_id").alias("doc_id"), F.col("id.text_key").alias("text_key"), F.col("id.copy").alias("copy"), "size", "text_crc32", "shard")
+    slots = numbered(flat, ["shard"], ["doc_id", "text_key", "copy"], "slot")
     return slots.select("doc_id", "size", F.coalesce("text_crc32", F.lit(0)).cast("long").alias("text_crc32"), F.lit("rows").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
