@@ -21,6 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session, as a full address, so that Spark
     and pyarrow mean the same store by it."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     at = spark._jvm.org.apache.hadoop.fs.Path((spark.conf.get("spark.checkpoint.dir", None) or LOCAL_SCRATCH).rstrip("/"))
     full = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(at).toString()
     return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
