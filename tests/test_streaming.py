@@ -1,4 +1,5 @@
 import json
+import os
 
 from pyspark.sql import functions as F
 
@@ -14,12 +15,14 @@ def run(frame, name, mode="append"):
 def stream(spark, path, schema, batches):
     for i, b in enumerate(batches):
         (path / f"{i}.json").write_text("\n".join(map(json.dumps, b)))
+        os.utime(path / f"{i}.json", (1_700_000_000 + 60 * i,) * 2)  # files are read in order of their times
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(path))
 
 
 def test_late_rows_are_dropped_and_the_rest_is_as_on_a_table(spark, tmp_path):
     t = lambda h, m=0: f"2026-01-01 {h:02d}:{m:02d}:00"
-    batches = [[{"ts": t(1), "k": "a"}, {"ts": t(1, 30), "k": "a"}], [{"ts": t(5), "k": "b"}], [{"ts": t(1, 10), "k": "late"}, {"ts": t(9), "k": "c"}], [{"ts": t(20), "k": "d"}]]
+    # A batch is judged by the watermark of the one before: what comes late comes a batch after it has moved.
+    batches = [[{"ts": t(1), "k": "a"}, {"ts": t(1, 30), "k": "a"}], [{"ts": t(5), "k": "b"}], [{"ts": t(9), "k": "c"}], [{"ts": t(1, 10), "k": "late"}], [{"ts": t(20), "k": "d"}]]
     frame = stream(spark, tmp_path, "ts timestamp, k string", batches)
     out = run(windows.tumbling(frame, "ts", "1 hour", ["k"], F.count("*").alias("n")), "tumbled")
     assert sorted((r["k"], r["n"]) for r in out.collect()) == [("a", 2), ("b", 1), ("c", 1)]
