@@ -102,7 +102,7 @@ def seconds_or_millis(x: Column) -> Column:
 
 
 def user_hash(name: Column) -> Column:
-    """The pseudonym of a user name; names differ by more than case."""
+    """The pseudonym of a user name, hashed as it is given."""
     return F.concat(F.lit("user_"), F.substring(F.sha2(name, 256), 1, 8))
 
 

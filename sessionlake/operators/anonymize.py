@@ -8,12 +8,15 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scalars import user_hash
+
+#: Fixed value: names shorter than this are searched in home paths alone. The word bounds and home folders below are fixed too.
 SHORT = 4
 
 
 def pseudonym(name: str) -> str:
-    """Names differ by more than case: the hash is of the lower-case name everywhere."""
-    return "user_" + hashlib.sha256(name.lower().encode()).hexdigest()[:8]
+    """The hash is of the name as it is given, here and in :func:`scalars.user_hash`; only the search ignores case."""
+    return "user_" + hashlib.sha256(name.encode()).hexdigest()[:8]
 
 
 def _java_quote(text: str) -> str:
@@ -48,7 +51,7 @@ def anonymize_by_column(text: Column, name: Column) -> Column:
     """Whole-word replacement of each row's own name."""
     quoted = F.regexp_replace(F.lower(name), r"([^a-z0-9])", r"\\$1")
     pattern = F.concat(F.lit("(?iu)(?<![a-zA-Z0-9])"), quoted, F.lit("(?![a-zA-Z0-9])"))
-    return F.regexp_replace(text, pattern, F.concat(F.lit("user_"), F.substring(F.sha2(F.lower(name), 256), 1, 8)))
+    return F.regexp_replace(text, pattern, user_hash(name))
 
 
 class Anonymizer:
