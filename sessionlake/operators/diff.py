@@ -23,11 +23,18 @@ def changed_keys(old: DataFrame, new: DataFrame, key: str, digest: str) -> DataF
 
 
 def _expanded(rows: DataFrame, difference: DataFrame, side: str, key: str, digest: str, line: str) -> DataFrame:
-    """The surplus records of a side, one row each, numbered within their key by record and line."""
+    """The surplus records of a side, one row each, numbered within their key by record and line.
+
+    Few keys may hold most records: a key is numbered in buckets by how the digest begins (two hexadecimal digits, so
+    the order stays), whose counts are then summed up."""
     same = F.row_number().over(Window.partitionBy(key, digest).orderBy(F.desc(line)))
     surplus = rows.select(key, digest, line).join(difference.where(F.col(side) > 0).select(key, digest, side), [key, digest]).withColumn("_k", same).where(F.col("_k") <= F.col(side))
-    n = F.row_number().over(Window.partitionBy(key).orderBy(digest, line))
-    return surplus.select(key, n.cast("long").alias("n"), F.col(digest).alias(f"{side}_digest"), F.col(line).alias(f"{side}_line"))
+    marked = surplus.withColumn("_bucket", F.substring(digest, 1, 2))
+    counts = difference.where(F.col(side) > 0).groupBy(key, F.substring(digest, 1, 2).alias("_bucket")).agg(F.sum(side).alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))
+    bases = counts.withColumn("_base", F.coalesce(before, F.lit(0))).drop("_n")
+    n = F.row_number().over(Window.partitionBy(key, "_bucket").orderBy(digest, line)) + F.col("_base")
+    return marked.join(bases, [key, "_bucket"]).select(key, n.cast("long").alias("n"), F.col(digest).alias(f"{side}_digest"), F.col(line).alias(f"{side}_line"))
 
 
 def events(old: DataFrame, new: DataFrame, key: str = "key", digest: str = "digest", line: str = "line") -> DataFrame:
