@@ -220,6 +220,15 @@ def catalog(spark: SparkSession, source: str, path: str) -> DataFrame:
         return project_catalog(lines.select(F.lit(source).alias("source"), project.alias("project"), F.octet_length("value").cast("long").alias("bytes")))
     pattern = _FILES[source][0] if source in _FILES else "*.jsonl"
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
+    parts = F.split("path", "/")
+    if source == "claude":
+        # project/<session>.jsonl, and project/<session>/subagents/<agent>.jsonl: one session with what it started.
+        below = F.element_at(parts, -2) == "subagents"
+        project = F.when(below, F.try_element_at(parts, F.lit(-4))).otherwise(F.element_at(parts, -2))
+        one = F.when(below, F.try_element_at(parts, F.lit(-3))).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", ""))
+        sessions = listed.groupBy(project.alias("project"), one.alias("session")).agg(F.sum("bytes").alias("bytes"))
+        return project_catalog(sessions.select(F.lit(source).alias("source"), "project", "bytes"))
     up = {"gemini": 3, "kimi": 3}.get(source, 2)
-    return project_catalog(listed.select(F.lit(source).alias("source"), F.element_at(F.split("path", "/"), -up).alias("project"), "bytes"))
+    found = listed.select(F.lit(source).alias("source"), F.element_at(parts, -up).alias("project"), "bytes")
+    return project_catalog(found.where("project <> 'bin'") if source == "gemini" else found)
 
