@@ -80,6 +80,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_language_id, op2_sharding, op3_token_records, op4_pseudo_likelihood, op5_simhash, op6_mixing, op7_toxicity, op8_secrets, op9_neighbours, op10_decontamination, pipeline)
 }
 
-#: None of these can be said in SQL: models, hash bits over whole texts, tokenizers, entropy windows, draws by a hash
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+#: The others can't be said in SQL: models, hash bits over whole texts, tokenizers, entropy windows, draws by a hash
 #: that DuckDB lacks. Tests compare each with a brute-force version.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_decontamination": f"""
+        WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS w FROM documents),
+        items AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+        starts AS (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0),
+        windows AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i : i + 9], ' ') AS words FROM starts),
+        placed AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM docs),
+        following AS (
+            SELECT r, p, list(word) OVER (PARTITION BY r ORDER BY p ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS w FROM placed
+        ),
+        lengths AS (SELECT DISTINCT n FROM windows),
+        phrases AS (SELECT r, p, n, array_to_string(w[1 : n], ' ') AS words FROM following JOIN lengths ON len(w) >= n),
+        hits AS (SELECT r, p, n, item_id FROM phrases JOIN windows USING (n, words)),
+        hit_words AS (SELECT r, count(*) AS n_hit FROM (SELECT DISTINCT r, unnest(range(p, p + n)) AS p FROM hits) GROUP BY r),
+        hit_items AS (
+            SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+            FROM (SELECT DISTINCT r, item_id FROM hits) GROUP BY r
+        )
+        SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+        FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
+    """,
+}
