@@ -107,12 +107,12 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def pieces(frames: Iterator[pd.DataFrame], limit: int = 16_000_000) -> Iterator[pd.DataFrame]:
-    """Cut batches so that the texts of a piece hold about ``limit`` characters; a longer text is a piece alone."""
+def pieces(frames: Iterator[pd.DataFrame], limit: int = 16_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
+    """Cut batches so that the texts (or bytes) of a piece hold about ``limit`` characters; a longer one is a piece alone."""
     for frame in frames:
         if not len(frame):
             continue
-        sizes = frame["text"].str.len().fillna(0).to_numpy()
+        sizes = frame[column].str.len().fillna(0).to_numpy()
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total and total + n > limit:

@@ -5,7 +5,8 @@ counts over the whole corpus decide which get a token of their own, the rest sha
 steps, its class and then the token within the class, so that the probabilities sum to one over all tokens at the cost
 of two short vectors. Training is local descent: each task trains a copy on the documents it reads, every position
 in one of the rounds at least, and the copies are averaged chunk by chunk, in two levels, weighted by positions; a few rounds of this follow
-each other. Document scores are the summed log-probabilities of all tokens.
+each other. Document scores are the summed log-probabilities of all tokens. Texts are read and cut into words once: all
+later passes read the words' buckets from a scratch table.
 """
 
 from __future__ import annotations
@@ -49,6 +50,10 @@ class Rule:
     def tokens(self) -> int:
         return self.own + self.shared
 
+    @property
+    def stored(self) -> str:
+        return "<u2" if self.buckets <= 1 << 16 else "<u4"
+
     @property
     def inside(self) -> int:
         return -(-self.tokens // self.classes)
@@ -84,21 +89,28 @@ def _words(rule: Rule) -> Words:
     return _WORDS[rule]
 
 
-def bucket_counts(docs: DataFrame, rule: Rule) -> DataFrame:
-    """bucket, n: words of the whole corpus in each bucket; tasks send their sums."""
+def bucketed(docs: DataFrame, rule: Rule) -> DataFrame:
+    """doc_id, words: the bucket of each word of the text, in order, as unsigned integers of two or four bytes."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros(rule.buckets, dtype=np.int64)
         for frame in pieces(frames):
-            for text in frame["text"]:
-                total += 0 if not text else np.bincount(_words(rule).of(text), minlength=rule.buckets) if len(text) > 20_000 else 0
-            short = [_words(rule).of(t) for t in frame["text"] if t and len(t) <= 20_000]
-            if short:
-                total += np.bincount(np.concatenate(short), minlength=rule.buckets)
+            found = [_words(rule).of(t).astype(rule.stored).tobytes() for t in frame["text"]]
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "words": found})
+
+    return text_rows(docs).mapInPandas(run, "doc_id long, words binary")
+
+
+def bucket_counts(words: DataFrame, rule: Rule) -> DataFrame:
+    """bucket, n: words of the whole corpus (see :func:`bucketed`) in each bucket; tasks send their sums."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(rule.buckets, dtype=np.int64)
+        for frame in pieces(frames, column="words"):
+            total += np.bincount(np.frombuffer(b"".join(frame["words"]), dtype=rule.stored), minlength=rule.buckets)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype(np.int32), "n": total[at]})
 
-    return text_rows(docs).mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    return words.select("words").mapInPandas(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
 
 def vocabulary(counts: DataFrame, rule: Rule) -> np.ndarray:
@@ -141,9 +153,22 @@ def _contexts(ids: np.ndarray, ends: np.ndarray, rule: Rule) -> np.ndarray:
     return out
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(axis=1, keepdims=True))
+    e /= e.sum(axis=1, keepdims=True)
+    return e
+
+
+def _log_prob(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The logarithm of the softmax of each row, at one place a row."""
+    most = z.max(axis=1)
+    return z[np.arange(len(z)), at] - most - np.log(np.exp(z - most[:, None]).sum(axis=1))
+
+
+def _by_class(c: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
+    """The rows in order of their class, and where each class begins. Short integers sort in linear time."""
+    order = np.argsort(c.astype(np.uint16), kind="stable")
+    return order, np.searchsorted(c[order], np.arange(rule.classes + 1))
 
 
 class Net:
@@ -163,14 +188,13 @@ class Net:
         for i in range(0, len(ids), block):
             t, h = ids[i : i + block], self.hidden(contexts[:, i : i + block])
             c, place = t % self.rule.classes, t // self.rule.classes
-            first = _log_softmax(h @ self.w["w1"] + self.w["b1"])[np.arange(len(t)), c]
-            order = np.argsort(c, kind="stable")
-            bounds = np.searchsorted(c[order], np.arange(self.rule.classes + 1))
+            first = _log_prob(h @ self.w["w1"] + self.w["b1"], c)
+            order, bounds = _by_class(c, self.rule)
             second = np.zeros(len(t), dtype=np.float32)
             for k in range(self.rule.classes):
                 at = order[bounds[k] : bounds[k + 1]]
                 if len(at):
-                    second[at] = _log_softmax(h[at] @ self.w["w2"][k] + self.w["b2"][k])[np.arange(len(at)), place[at]]
+                    second[at] = _log_prob(h[at] @ self.w["w2"][k] + self.w["b2"][k], place[at])
             out[i : i + block] = first.astype(np.float64) + second
         return out
 
@@ -181,29 +205,29 @@ def step(w: dict[str, np.ndarray], sums: dict[str, np.ndarray], ids: np.ndarray,
     c, place = ids % rule.classes, ids // rule.classes
     e = [w["emb"][x] for x in contexts]
     h = np.tanh(sum(x @ m for x, m in zip(e, w["mix"])) + w["bias"])
-    d1 = np.exp(_log_softmax(h @ w["w1"] + w["b1"]))
+    d1 = _softmax(h @ w["w1"] + w["b1"])
     d1[np.arange(n), c] -= 1
     g = {"w1": h.T @ d1, "b1": d1.sum(axis=0), "w2": np.zeros_like(w["w2"]), "b2": np.zeros_like(w["b2"])}
     back = d1 @ w["w1"].T
-    order = np.argsort(c, kind="stable")
-    bounds = np.searchsorted(c[order], np.arange(rule.classes + 1))
+    order, bounds = _by_class(c, rule)
     for k in range(rule.classes):
         at = order[bounds[k] : bounds[k + 1]]
         if len(at):
-            d2 = np.exp(_log_softmax(h[at] @ w["w2"][k] + w["b2"][k]))
+            own = h[at]
+            d2 = _softmax(own @ w["w2"][k] + w["b2"][k])
             d2[np.arange(len(at)), place[at]] -= 1
-            g["w2"][k], g["b2"][k] = h[at].T @ d2, d2.sum(axis=0)
+            g["w2"][k], g["b2"][k] = own.T @ d2, d2.sum(axis=0)
             back[at] += d2 @ w["w2"][k].T
     back *= 1 - h * h
     g["bias"] = back.sum(axis=0)
     g["mix"] = np.stack([x.T @ back for x in e])
     rows = contexts.reshape(-1)
     whole = np.concatenate([back @ m.T for m in w["mix"]])
-    used, where = np.unique(rows, return_inverse=True)
-    emb = np.zeros((len(used), rule.dim), dtype=np.float32)
-    order = np.argsort(where, kind="stable")
-    starts = np.searchsorted(where[order], np.arange(len(used)))
-    emb[:] = np.add.reduceat(whole[order], starts, axis=0)
+    order = np.argsort(rows.astype(np.uint16) if rule.tokens < 1 << 16 else rows, kind="stable")
+    rows = rows[order]
+    starts = np.flatnonzero(np.diff(rows, prepend=-1))
+    used = rows[starts]
+    emb = np.add.reduceat(whole[order], starts, axis=0)
     for name, grad in g.items():
         grad = grad / n
         sums[name] += grad * grad
@@ -226,9 +250,9 @@ def _shaped(flat: np.ndarray, like: dict[str, np.ndarray]) -> dict[str, np.ndarr
 
 def _batches(frames: Iterator[pd.DataFrame], token: np.ndarray, rule: Rule) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
     """Documents in pieces of bounded size: the rows, their tokens end to end, and where each document ends."""
-    for frame in pieces(frames, 4_000_000):
-        own = [token[_words(rule).of(t)] if t else np.zeros(0, dtype=np.int32) for t in frame["text"]]
-        yield frame, np.concatenate(own).astype(np.int32), np.cumsum([len(x) for x in own])
+    for frame in pieces(frames, 1_200_000, "words"):
+        own = [np.frombuffer(x, dtype=rule.stored) for x in frame["words"]]
+        yield frame, token[np.concatenate(own)], np.cumsum([len(x) for x in own])
 
 
 def picked(n: int, at: int, rule: Rule) -> np.ndarray:
@@ -236,8 +260,9 @@ def picked(n: int, at: int, rule: Rule) -> np.ndarray:
     return np.arange(at % rule.stride, n, rule.stride)
 
 
-def train(docs: DataFrame, token: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
-    spark = docs.sparkSession
+def train(words: DataFrame, token: np.ndarray, rule: Rule) -> dict[str, np.ndarray]:
+    """The weights after all rounds over the documents of :func:`bucketed`."""
+    spark = words.sparkSession
     w = new_weights(rule)
     for at in range(rule.rounds):
         sent = send(spark, (w, token, at))
@@ -279,7 +304,7 @@ def train(docs: DataFrame, token: np.ndarray, rule: Rule) -> dict[str, np.ndarra
             return pd.DataFrame([{"part": frame["part"].min(), "chunk": frame["chunk"].iloc[0], "seen": total, "values": values.astype(np.float32).tobytes()}])
 
         schema = "part int, chunk int, seen long, values binary"
-        copies = text_rows(docs).mapInPandas(run, schema)
+        copies = words.mapInPandas(run, schema)
         some = copies.groupBy("chunk", F.pmod("part", F.lit(64)).alias("p")).applyInPandas(mean, schema)
         averaged = some.groupBy("chunk").applyInPandas(mean, schema).orderBy("chunk").collect()  # the weights alone
         if not averaged:
@@ -296,9 +321,10 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
     table gives no rows.
     """
     spark = docs.sparkSession
-    counts, _ = stored(bucket_counts(docs, rule), "lm-counts")
+    words, _ = stored(bucketed(docs, rule), "lm-words")
+    counts, _ = stored(bucket_counts(words, rule), "lm-counts")
     token = vocabulary(counts, rule)
-    w = train(docs, token, rule)
+    w = train(words, token, rule)
     sent = send(spark, (w, token))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -311,4 +337,4 @@ def scored(docs: DataFrame, rule: Rule = Rule()) -> DataFrame:
                 sums[n > 0] = np.add.reduceat(p, (ends - n)[n > 0])
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "n_tokens": n, "log_prob": sums, "mean_log_prob": pd.Series(np.where(n > 0, sums / np.maximum(n, 1), np.nan)).astype(object).where(n > 0, None)})
 
-    return text_rows(docs).mapInPandas(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")
+    return words.mapInPandas(run, "doc_id long, n_tokens long, log_prob double, mean_log_prob double")

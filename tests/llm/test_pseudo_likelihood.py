@@ -9,13 +9,18 @@ RULE = pl.Rule(own=96, shared=32, classes=8, dim=12, stride=1, rounds=4, batch=2
 
 
 @pytest.fixture(scope="module")
-def model(documents):
-    token = pl.vocabulary(pl.bucket_counts(documents, RULE), RULE)
-    return pl.train(documents, token, RULE), token
+def cut(documents):
+    return pl.bucketed(documents, RULE).cache()
 
 
-def test_bucket_counts_cover_the_corpus(documents, texts):
-    found = {r["bucket"]: r["n"] for r in pl.bucket_counts(documents, RULE).collect()}
+@pytest.fixture(scope="module")
+def model(cut):
+    token = pl.vocabulary(pl.bucket_counts(cut, RULE), RULE)
+    return pl.train(cut, token, RULE), token
+
+
+def test_bucket_counts_cover_the_corpus(cut, texts):
+    found = {r["bucket"]: r["n"] for r in pl.bucket_counts(cut, RULE).collect()}
     plain = {}
     for t in texts.values():
         for w in t.lower().split():
@@ -50,11 +55,11 @@ def test_gradient_against_differences():
         assert abs((before[k][at] - w[k][at]) * 1e4 / rule.rate - slope) < 2e-3 + 0.02 * abs(slope), k
 
 
-def test_scores_against_brute_force(documents, texts, model):
+def test_scores_against_brute_force(cut, texts, model):
     w, token = model
     net = pl.Net(w, RULE)
     found = {}
-    for frame, ids, ends in pl._batches(iter([documents.select("doc_id", "text").toPandas()]), token, RULE):
+    for frame, ids, ends in pl._batches(iter([cut.toPandas()]), token, RULE):
         p = net.log_probs(ids, pl._contexts(ids, ends, RULE))
         found |= dict(zip(frame["doc_id"], np.diff(np.concatenate(([0.0], np.cumsum(p)))[ends], prepend=0.0)))
     for doc in sorted(texts)[:8]:
@@ -68,10 +73,9 @@ def test_scores_against_brute_force(documents, texts, model):
         assert abs(total - found[doc]) < 1e-3 * abs(total) + 1e-3
 
 
-def test_better_than_word_frequencies(documents, model):
+def test_better_than_word_frequencies(cut, model):
     w, token = model
-    frame = documents.select("doc_id", "text").toPandas()
-    (_, ids, ends), = pl._batches(iter([frame]), token, RULE)
+    (_, ids, ends), = pl._batches(iter([cut.toPandas()]), token, RULE)
     p = np.bincount(ids, minlength=RULE.tokens) / len(ids)
     assert pl.Net(w, RULE).log_probs(ids, pl._contexts(ids, ends, RULE)).mean() > np.log(p[ids]).mean()
 
