@@ -63,21 +63,21 @@ def _bucket(word: str, rule: Rule) -> int:
     return zlib.crc32(word.encode()) % rule.buckets
 
 
-class Words:
+class Words(dict):
     """The bucket of each word of a text, lower-cased, between white space; looked up once a process."""
 
     def __init__(self, rule: Rule) -> None:
-        self.rule, self.seen = rule, {}
+        self.rule = rule
 
-    def _miss(self, word: str) -> int:
+    def __missing__(self, word: str) -> int:
         b = _bucket(word, self.rule)
-        if len(self.seen) < 400_000:
-            self.seen[word] = b
+        if len(self) < 400_000:
+            self[word] = b
         return b
 
     def of(self, text: str | None) -> np.ndarray:
-        seen, miss = self.seen.get, self._miss
-        return np.array([miss(w) if (b := seen(w)) is None else b for w in (text or "").lower().split()], dtype=np.int64)
+        found = (text or "").lower().split()
+        return np.fromiter(map(self.__getitem__, found), dtype=self.rule.stored, count=len(found))
 
 
 _WORDS: dict[Rule, Words] = {}
@@ -94,7 +94,7 @@ def bucketed(docs: DataFrame, rule: Rule) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames):
-            found = [_words(rule).of(t).astype(rule.stored).tobytes() for t in frame["text"]]
+            found = [_words(rule).of(t).tobytes() for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "words": found})
 
     return text_rows(docs).mapInPandas(run, "doc_id long, words binary")
@@ -153,16 +153,31 @@ def _contexts(ids: np.ndarray, ends: np.ndarray, rule: Rule) -> np.ndarray:
     return out
 
 
+# Scores stand in columns, one a position: sums and maxima over rows run along contiguous memory.
 def _softmax(z: np.ndarray) -> np.ndarray:
-    e = np.exp(z - z.max(axis=1, keepdims=True))
-    e /= e.sum(axis=1, keepdims=True)
-    return e
+    """The softmax of each column, in place."""
+    z -= z.max(axis=0)
+    np.exp(z, out=z)
+    z /= z.sum(axis=0)
+    return z
 
 
 def _log_prob(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The logarithm of the softmax of each row, at one place a row."""
-    most = z.max(axis=1)
-    return z[np.arange(len(z)), at] - most - np.log(np.exp(z - most[:, None]).sum(axis=1))
+    """The logarithm of the softmax of each column, at one place a column; ``z`` is used up."""
+    z -= z.max(axis=0)
+    chosen = z[at, np.arange(z.shape[1])]
+    return chosen - np.log(np.exp(z, out=z).sum(axis=0))
+
+
+def _inner(h: np.ndarray, w: dict[str, np.ndarray], bounds: np.ndarray, rule: Rule) -> np.ndarray:
+    """The scores within their class of positions in order of their class."""
+    z = np.empty((rule.inside, len(h)), dtype=h.dtype)
+    cuts = bounds.tolist()
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            np.matmul(w["w2"][k].T, h[a:b].T, out=z[:, a:b])
+            z[:, a:b] += w["b2"][k][:, None]
+    return z
 
 
 def _by_class(c: np.ndarray, rule: Rule) -> tuple[np.ndarray, np.ndarray]:
@@ -182,19 +197,16 @@ class Net:
             h += self.tables[k][contexts[k]]
         return np.tanh(h)
 
-    def log_probs(self, ids: np.ndarray, contexts: np.ndarray, block: int = 32_768) -> np.ndarray:
+    def log_probs(self, ids: np.ndarray, contexts: np.ndarray, block: int = 8192) -> np.ndarray:
         """The log-probability of each position's token given the tokens around it."""
         out = np.zeros(len(ids))
         for i in range(0, len(ids), block):
             t, h = ids[i : i + block], self.hidden(contexts[:, i : i + block])
             c, place = t % self.rule.classes, t // self.rule.classes
-            first = _log_prob(h @ self.w["w1"] + self.w["b1"], c)
+            first = _log_prob(self.w["w1"].T @ h.T + self.w["b1"][:, None], c)
             order, bounds = _by_class(c, self.rule)
-            second = np.zeros(len(t), dtype=np.float32)
-            for k in range(self.rule.classes):
-                at = order[bounds[k] : bounds[k + 1]]
-                if len(at):
-                    second[at] = _log_prob(h[at] @ self.w["w2"][k] + self.w["b2"][k], place[at])
+            second = np.empty(len(t), dtype=first.dtype)
+            second[order] = _log_prob(_inner(h[order], self.w, bounds, self.rule), place[order])
             out[i : i + block] = first.astype(np.float64) + second
         return out
 
@@ -203,38 +215,41 @@ def step(w: dict[str, np.ndarray], sums: dict[str, np.ndarray], ids: np.ndarray,
     """One step of Adagrad on the mean negative log-probability of a batch, in place."""
     n = len(ids)
     c, place = ids % rule.classes, ids // rule.classes
-    e = [w["emb"][x] for x in contexts]
-    h = np.tanh(sum(x @ m for x, m in zip(e, w["mix"])) + w["bias"])
-    d1 = _softmax(h @ w["w1"] + w["b1"])
-    d1[np.arange(n), c] -= 1
-    g = {"w1": h.T @ d1, "b1": d1.sum(axis=0), "w2": np.zeros_like(w["w2"]), "b2": np.zeros_like(w["b2"])}
-    back = d1 @ w["w1"].T
+    rows = contexts.T.reshape(-1)
+    e, mix = w["emb"][rows].reshape(n, -1), w["mix"].reshape(-1, rule.dim)  # all places of a position side by side
+    h = np.tanh(e @ mix + w["bias"])
+    d1 = _softmax(w["w1"].T @ h.T + w["b1"][:, None])
+    d1[c, np.arange(n)] -= 1
+    g = {"w1": h.T @ d1.T, "b1": d1.sum(axis=1), "w2": np.zeros_like(w["w2"]), "b2": np.zeros_like(w["b2"])}
     order, bounds = _by_class(c, rule)
-    for k in range(rule.classes):
-        at = order[bounds[k] : bounds[k + 1]]
-        if len(at):
-            own = h[at]
-            d2 = _softmax(own @ w["w2"][k] + w["b2"][k])
-            d2[np.arange(len(at)), place[at]] -= 1
-            g["w2"][k], g["b2"][k] = own.T @ d2, d2.sum(axis=0)
-            back[at] += d2 @ w["w2"][k].T
+    own = h[order]
+    d2 = _softmax(_inner(own, w, bounds, rule))
+    d2[place[order], np.arange(n)] -= 1
+    inner = np.empty_like(h)
+    cuts = bounds.tolist()
+    for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
+        if b > a:
+            np.matmul(own[a:b].T, d2[:, a:b].T, out=g["w2"][k])
+            g["b2"][k] = d2[:, a:b].sum(axis=1)
+            np.matmul(d2[:, a:b].T, w["w2"][k].T, out=inner[a:b])
+    back = d1.T @ w["w1"].T
+    back[order] += inner
     back *= 1 - h * h
     g["bias"] = back.sum(axis=0)
-    g["mix"] = np.stack([x.T @ back for x in e])
-    rows = contexts.reshape(-1)
-    whole = np.concatenate([back @ m.T for m in w["mix"]])
+    g["mix"] = (e.T @ back).reshape(w["mix"].shape)
+    whole = (back @ mix.T).reshape(-1, rule.dim)
     order = np.argsort(rows.astype(np.uint16) if rule.tokens < 1 << 16 else rows, kind="stable")
     rows = rows[order]
     starts = np.flatnonzero(np.diff(rows, prepend=-1))
     used = rows[starts]
     emb = np.add.reduceat(whole[order], starts, axis=0)
     for name, grad in g.items():
-        grad = grad / n
+        grad /= n
         sums[name] += grad * grad
         w[name] -= rule.rate * grad / (np.sqrt(sums[name]) + 1e-3)
     emb /= n
-    sums["emb"][used] += emb * emb
-    w["emb"][used] -= rule.rate * emb / (np.sqrt(sums["emb"][used]) + 1e-3)
+    sums["emb"][used] = total = sums["emb"][used] + emb * emb
+    w["emb"][used] -= rule.rate * emb / (np.sqrt(total) + 1e-3)
 
 
 def _flat(w: dict[str, np.ndarray]) -> np.ndarray:
