@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -107,6 +109,25 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def give_back() -> None:
+    """Return the memory that this process holds but does not use. Python workers are reused, and an idle one's memory
+    counts with its executor's."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def trimmed(run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """``run`` for a task of ``mapInPandas``, which gives back its memory at its end."""
+
+    def task(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        yield from run(frames)
+        give_back()
+
+    return task
+
+
 def pieces(frames: Iterator[pd.DataFrame], limit: int = 16_000_000, column: str = "text") -> Iterator[pd.DataFrame]:
     """Cut batches so that the texts (or bytes) of a piece hold about ``limit`` characters; a longer one is a piece alone."""
     for frame in frames:

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import plain, send, stored, text_rows
+from .common import plain, send, stored, text_rows, trimmed
 
 #: Word bytes keep their value, A-Z become a-z, all others a space: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ after lower-casing.
 _WORD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -77,7 +77,7 @@ def build_index(docs: DataFrame, segment_words: int = 1 << 20) -> DataFrame:
         if ids:
             yield pack(ids, sizes, tokens, vocabulary).assign(segment=f"{part}-{number}")
 
-    return text_rows(docs).mapInPandas(run, _INDEX)
+    return text_rows(docs).mapInPandas(trimmed(run), _INDEX)
 
 
 def term_counts(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
@@ -94,7 +94,7 @@ def term_counts(index: DataFrame, wanted: set[bytes]) -> dict[bytes, int]:
         if total:
             yield pd.DataFrame({"term": list(total), "n": list(total.values())})
 
-    found = index.select("terms", "counts").mapInPandas(run, "term binary, n long")
+    found = index.select("terms", "counts").mapInPandas(trimmed(run), "term binary, n long")
     return {bytes(r["term"]): r["n"] for r in found.groupBy("term").agg(F.sum("n").alias("n")).collect()}
 
 
@@ -224,7 +224,7 @@ def _block_hits(index: DataFrame, block: dict[tuple[bytes, ...], list[str]]) ->
                 items = sorted({(d, i) for d, w in pairs for i in ids[w]})
                 yield pd.DataFrame([{"segment": name, "spans": np.ascontiguousarray(spans).tobytes(), "items": [f"{d}:{i}" for d, i in items]}])
 
-    return index.mapInPandas(run, "segment string, spans binary, items array<string>")
+    return index.mapInPandas(trimmed(run), "segment string, spans binary, items array<string>")
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10, segment_words: int = 1 << 20, block_words: int = 1_000_000) -> DataFrame:
@@ -270,7 +270,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 10, segment_w
                 yield merged(row.segment, light(row), spans, [i for part in row.items for i in part])
 
     gathered = hits.groupBy("segment").agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
-    return sizes.join(gathered, "segment").mapInPandas(run, schema)
+    return sizes.join(gathered, "segment").mapInPandas(trimmed(run), schema)
 
 
 def proximity(docs: DataFrame, phrases: list[str], within: int, segment_words: int = 1 << 20) -> DataFrame:
@@ -285,7 +285,7 @@ def proximity(docs: DataFrame, phrases: list[str], within: int, segment_words: i
                 if rows:
                     yield pd.DataFrame(rows, columns=["phrase", "doc_id", "position"]).astype({"doc_id": "Int64"})
 
-    return index.mapInPandas(run, "phrase string, doc_id long, position long")
+    return index.mapInPandas(trimmed(run), "phrase string, doc_id long, position long")
 
 
 def digests(found: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, release, scratch_path, stored, text_rows
+from .common import pieces, release, scratch_path, stored, text_rows, trimmed
 
 _MASK = 0xA282EAD8
 _INDEX = "shard int, number long, doc_id long, offset long, bytes long, n_tokens long"
@@ -188,7 +188,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
                 files.delete_file(part)
 
     path = f"{folder}/index"
-    rows.mapInPandas(run, _INDEX).write.parquet(path)
+    rows.mapInPandas(trimmed(run), _INDEX).write.parquet(path)
     (spark := docs.sparkSession).createDataFrame([(encoder(tokenizer).width,)], "id_bytes int").coalesce(1).write.parquet(f"{folder}/format")
     return spark.read.schema(_INDEX).parquet(path)
 
@@ -225,7 +225,7 @@ def read_shards(spark: SparkSession, folder: str) -> DataFrame:
     bases = shards.withColumn("base", F.coalesce(before, F.lit(0))).select("shard", "base")
     files = shards.count()
     dealt = shards.select("shard").repartition(max(1, files), "shard")
-    read = dealt.mapInPandas(run, "doc_id long, shard int, number long, n_tokens long, start long, ids_crc32 long")
+    read = dealt.mapInPandas(trimmed(run), "doc_id long, shard int, number long, n_tokens long, start long, ids_crc32 long")
     # Of the two sides, only the one with a row a file may ever be broadcast.
     bases = F.broadcast(bases) if files <= 200_000 else bases.hint("merge")
     return read.join(bases, "shard").withColumn("start", F.col("start") + F.col("base")).drop("base")

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, send, stored
+from .common import give_back, pieces, send, stored, trimmed
 
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -237,7 +237,7 @@ def fit(labelled: DataFrame, rule: Rule = Rule(), sizes: dict[int, int] | None =
         if total:
             yield pd.DataFrame([(*key, n) for key, n in total.items()], columns=["word", "fold", "toxic", "n"])
 
-    holders = sample.mapInPandas(words, "word string, fold int, toxic int, n long").groupBy("word")
+    holders = sample.mapInPandas(trimmed(words), "word string, fold int, toxic int, n long").groupBy("word")
     columns = [F.sum(F.when((F.col("fold") == f) & (F.col("toxic") == k), F.col("n")).otherwise(0)).alias(f"n{f}_{k}") for f in range(rule.folds) for k in (0, 1)]
     often = holders.agg(F.sum("n").alias("n"), *columns).where(F.col("n") >= rule.least).drop("n").toPandas().sort_values("word")  # of the bounded sample
     number = {w: i for i, w in enumerate(often["word"])}
@@ -249,7 +249,7 @@ def fit(labelled: DataFrame, rule: Rule = Rule(), sizes: dict[int, int] | None =
             found = [sorted((sent.value[w], n) for w, n in counted(t).items() if w in sent.value) for t in frame["text"]]
             yield frame[["doc_id", "toxic", "fold"]].assign(terms=[np.array(f, dtype=np.int32).tobytes() for f in found])
 
-    got = sample.mapInPandas(known, "doc_id long, toxic int, fold int, terms binary").toPandas().sort_values(["doc_id", "toxic", "terms"], na_position="first")
+    got = sample.mapInPandas(trimmed(known), "doc_id long, toxic int, fold int, terms binary").toPandas().sort_values(["doc_id", "toxic", "terms"], na_position="first")
     terms = [np.frombuffer(t, dtype=np.int32).reshape(-1, 2).astype(np.int64) for t in got["terms"]]
     some = np.array([len(t) > 0 for t in terms], dtype=bool)
     labels, folds = got["toxic"].to_numpy(dtype=np.float64), got["fold"].to_numpy()
@@ -292,7 +292,7 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
             found = [sent.value.score(t) for t in frame["text"]]
             yield pd.DataFrame({"doc_id": frame["doc_id"], "score": [s for s, _ in found], "evidence": [e for _, e in found]})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, "doc_id long, score double, evidence array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(trimmed(run), "doc_id long, score double, evidence array<long>")
 
 
 def score_column(docs: DataFrame, model: Model) -> Column:
@@ -300,8 +300,10 @@ def score_column(docs: DataFrame, model: Model) -> Column:
     sent = send(docs.sparkSession, model)
 
     @F.pandas_udf("double")
-    def score(text: pd.Series) -> pd.Series:
-        return pd.Series([sent.value.score(t)[0] for t in text], dtype="float64")
+    def score(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in texts:
+            yield pd.Series([sent.value.score(t)[0] for t in text], dtype="float64")
+        give_back()
 
     return score(F.col("text"))
 
