@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, langid, mixing, positional, pseudo_likelihood, records, secrets, sharding, simhash, toxicity
+from . import ann, erasure, langid, merkle, mixing, positional, pseudo_likelihood, quality, records, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -69,6 +69,21 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return positional.digests(positional.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+def op11_erasure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return erasure.shop(spark, sf_dir)
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels").where(_remainder(4) != 2))
+    found = quality.scored(docs, model)
+    return found.select("doc_id", (_remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,11 +92,25 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_language_id, op2_sharding, op3_token_records, op4_pseudo_likelihood, op5_simhash, op6_mixing, op7_toxicity, op8_secrets, op9_neighbours, op10_decontamination, pipeline)
+    for f in (op1_language_id, op2_sharding, op3_token_records, op4_pseudo_likelihood, op5_simhash, op6_mixing, op7_toxicity, op8_secrets, op9_neighbours, op10_decontamination, op11_erasure, op12_quality, op13_merkle, pipeline)
 }
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE concat(strlen(CAST({0} AS VARCHAR)), ':', CAST({0} AS VARCHAR)) END"
+_LEAF = "sha256(concat(" + ", ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{n_chars}", "text")) + "))"
+#: CRC-32 of a decimal number, bit by bit: each byte is followed by eight markers to shift.
+_CRC = """xor(list_reduce(flatten(list_concat([[4294967295::UBIGINT]], list_transform(string_split(CAST(doc_id AS VARCHAR), ''),
+    lambda x: list_concat([ascii(x)::UBIGINT], [999::UBIGINT, 999, 999, 999, 999, 999, 999, 999])))),
+    lambda c, b: CASE WHEN b < 256 THEN xor(c, b) WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END), 4294967295::UBIGINT)"""
+#: A table named {0}_up of every node of the trees over {0} (g, pos, hash): g, level, pos, hash, and what it was made of.
+_TREE = """{0}_up AS (
+    SELECT g, 0 AS level, pos, hash, hash AS pre, n FROM {0}
+    UNION ALL
+    SELECT g, level + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)), string_agg(hash, '' ORDER BY pos), (any_value(n) + 1) // 2
+    FROM {0}_up WHERE n > 1 GROUP BY g, level, pos // 2
+)"""
+
 #: The others can't be said in SQL: models, hash bits over whole texts, tokenizers, entropy windows, draws by a hash
 #: that DuckDB lacks. Tests compare each with a brute-force version.
 ORACLE_SQL: dict[str, str] = {
@@ -106,4 +135,34 @@ ORACLE_SQL: dict[str, str] = {
             sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM docs LEFT JOIN hit_words USING (r) LEFT JOIN hit_items USING (r)
     """,
+    "op13_merkle": f"""
+        WITH RECURSIVE raw AS (
+            SELECT row_number() OVER () AS r, doc_id, coalesce(concat('=', lang), '') AS g, {_LEAF.format(n_chars="n_chars")} AS leaf,
+                CASE WHEN {_CRC} % 7 = 0 AND n_chars IS NOT NULL THEN {_LEAF.format(n_chars="(n_chars + 1)")} END AS changed
+            FROM documents
+        ),
+        leaves AS (
+            SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n, leaf AS hash FROM raw
+        ),
+        {_TREE.format("leaves")},
+        tops AS (SELECT 'all' AS g, g AS lang, hash, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM leaves_up WHERE n = 1),
+        {_TREE.format("tops")},
+        heights AS (SELECT g, max(level) AS h FROM leaves_up GROUP BY g),
+        steps AS (
+            SELECT r, u.level AS k, u.pre, (l.pos >> (u.level - 1)) & 1 AS slot
+            FROM leaves l JOIN leaves_up u ON u.g = l.g AND u.level > 0 AND u.pos = l.pos >> u.level
+            UNION ALL
+            SELECT r, h + u.level, u.pre, (t.pos >> (u.level - 1)) & 1
+            FROM leaves l JOIN heights ON heights.g = l.g JOIN tops t ON t.lang = l.g JOIN tops_up u ON u.level > 0 AND u.pos = t.pos >> u.level
+        ),
+        proofs AS (SELECT r, sha256(string_agg(concat(pre[1 : slot * 64], pre[slot * 64 + 65 :]), '' ORDER BY k)) AS proof, max(k) AS most FROM steps GROUP BY r),
+        folds AS (
+            SELECT r, 0 AS k, coalesce(changed, leaf) AS own FROM leaves
+            UNION ALL
+            SELECT r, s.k, sha256(concat(pre[1 : slot * 64], own, pre[slot * 64 + 65 :])) FROM folds f JOIN steps s USING (r) WHERE s.k = f.k + 1
+        ),
+        ends AS (SELECT r, arg_max(own, k) AS folded_root FROM folds GROUP BY r)
+        SELECT doc_id, leaf, t.hash AS subroot, root.hash AS root, coalesce(proof, sha256('')) AS proof_sha256, folded_root, folded_root = root.hash AS verified
+        FROM leaves JOIN tops t ON t.lang = leaves.g JOIN ends USING (r) LEFT JOIN proofs USING (r) CROSS JOIN (SELECT hash FROM tops_up WHERE n = 1) root
+    """,
 }

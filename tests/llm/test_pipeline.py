@@ -9,7 +9,7 @@ from sessionlake.llm.queries import QUERIES, tokenizer_path
 
 def test_stages_and_names():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_duplicates", "decontamination", "mixing", "token_records"]
-    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(n[2:].split("_")[0]) for n in QUERIES if n.startswith("op")} == set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_each_stage_keeps_the_columns_and_the_last_encodes_what_is_left(spark, sf_dir, documents):
