@@ -540,6 +540,30 @@ def json_patch_diff(spark, sf_dir):
     return both.select("conv_id", patch_udf("j", "k").alias("patch"))
 
 
+_EDITED = "turn % 7 = 3"
+_DROPPED = "turn % 5 = 4"
+
+
+@query(
+    f"""select conv_id, count(*) filter ({_EDITED} and not {_DROPPED} and text is not null) as replaced, count(*) filter ({_DROPPED}) as removed, cast(1 as bigint) as added
+from conversations group by conv_id"""
+)
+def message_patch_counts(spark, sf_dir):
+    """Sessions in which some messages were edited, some dropped and one added: what their patches consist of."""
+    from ..functions.json_values import patch_udf
+
+    message = F.struct(F.format_string("%09d", "turn").alias("timestamp"), "role", "content")
+    edited = message.withField("content", F.when(F.expr(_EDITED), F.concat("content", F.lit(" (edited)"))).otherwise(F.col("content")))
+    t = table(spark, sf_dir, "conversations").withColumnRenamed("text", "content")
+    last = F.array(F.struct(F.lit("999999999").alias("timestamp"), F.lit("user").alias("role"), F.lit("added").alias("content")))
+    kept = F.collect_list(F.when(~F.expr(_DROPPED), edited))
+    sessions = t.groupBy("conv_id").agg(F.sort_array(F.collect_list(message)).alias("old"), F.concat(F.sort_array(kept), last).alias("new"))
+    as_json = lambda c: F.to_json(F.struct(F.col(c).alias("messages")), {"ignoreNullFields": "false"})
+    ops = F.from_json(patch_udf(as_json("old"), as_json("new")), "array<struct<op:string>>")["op"]
+    many = lambda op: F.size(F.filter(ops, lambda x: x.startswith(op))).cast("long")  # noqa: E731  # replace, or replace_text
+    return sessions.select("conv_id", many("replace").alias("replaced"), many("remove").alias("removed"), many("add").alias("added"))
+
+
 @query()
 def canonical_hash(spark, sf_dir):
     from ..functions.json_values import canonical_udf

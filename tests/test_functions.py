@@ -99,3 +99,39 @@ def test_yaml_reads_back():
         value = {"k": text, "n": [1, None, {"t": text, "u": [text, True]}], "e": {}, "l": [], "r": rng.random()}
         assert yaml.safe_load(dump(value)) == value, text
     assert json.loads(json.dumps(value)) == value
+
+
+def message(n, text="t", **more):
+    return {"role": "user", "timestamp": f"T{n}", "content": text, **more}
+
+
+def test_items_of_arrays_find_what_they_became():
+    """A message in which one value changed gives that change, wherever its neighbours went."""
+    call = {"tool": "shell", "input": {"command": "ls", "dir": "/"}, "output": {"text": "old", "code": 0}}
+    other = {"tool": "shell", "input": {"command": "cat", "dir": "/"}, "output": {"text": "new", "code": 0}}
+    assert J.patch({"messages": [message(0, tool_uses=[call])]}, {"messages": [message(0, tool_uses=[{**call, "output": {**call["output"], "raw": {"type": "text"}}}])]}) == [{"op": "add", "path": "/messages/0/tool_uses/0/output/raw", "value": {"type": "text"}}]
+    before, after = [message(n) for n in range(20)], [message(n) for n in range(20)]
+    after[19] = message(19, "new")
+    assert J.patch({"messages": before}, {"messages": after}) == [{"op": "replace", "path": "/messages/19/content", "old": "t", "new": "new"}]
+    assert J.patch([call], [other]) == [{"op": "replace", "path": "/0/input/command", "old": "ls", "new": "cat"}, {"op": "replace", "path": "/0/output/text", "old": "old", "new": "new"}]
+    # One goes, one comes, one changes: by time, not by place.
+    ops = J.patch([message(1), message(2), message(3)], [message(2, "x"), message(3, "y"), message(4)])
+    assert [(o["op"], o["path"]) for o in ops] == [("remove", "/0"), ("replace", "/0/content"), ("replace", "/1/content"), ("add", "/2")]
+
+
+def test_exact_partners_come_before_loose_ones():
+    a, b = message(1, "a", thinking="p"), message(1, "b", thinking="p")
+    ops = J.patch([a, b], [{**b, "thinking": "q"}, {**a, "thinking": "r"}])
+    assert {(o["op"], o.get("old"), o.get("new")) for o in ops} == {("move", None, None), ("replace", "p", "q"), ("replace", "p", "r")}
+    # Queues: equal keys pair in order.
+    assert J.matched([a, a, b], [b, a, a]) == {0: 1, 1: 2, 2: 0}
+    assert J.matched([a, "text"], [b]) is None and J.matched([message(1)], [message(2)]) == {}
+
+
+MESSAGES = st.lists(st.builds(message, st.integers(0, 3), st.sampled_from(["a", "b", "c"]), thinking=st.sampled_from(["p", "q"]), tool_uses=st.lists(st.builds(lambda t, c: {"tool": t, "input": {"c": c}}, st.sampled_from("xy"), st.integers(0, 2)), max_size=3)), max_size=7)
+
+
+@given(MESSAGES, MESSAGES)
+@settings(max_examples=300, deadline=None)
+def test_patches_of_messages_apply(old, new):
+    assert J.apply_patch({"messages": old}, J.patch({"messages": old}, {"messages": new})) == {"messages": new}
