@@ -10,8 +10,9 @@ from pyspark.sql.utils import AnalysisException
 
 from ..functions.json_values import canonical_udf
 from ..operators import diff as compare
-from ..operators import gates, merge, redact, scans
+from ..operators import gates, integrity, merge, redact, scans
 from ..sinks import jsonl
+from ..sinks.versions import Versions
 from ..sources import files, sqlite
 
 
@@ -97,6 +98,42 @@ def publish(spark: SparkSession, remote: str, local: str, target: str) -> dict:
     return stats | {"written": True}
 
 
+def push(spark: SparkSession, repo: str, local: str, attempts: int = 5) -> dict:
+    """Merge ``local`` into the latest version of ``repo`` and commit the result as the next one. Where another writer
+    committed meanwhile, the merge is made again with what they wrote, up to ``attempts`` times, so no session of either
+    is lost. Nothing is written where the merge changes nothing. Returns the counts of the merge, version and written.
+
+    The manifest keeps the data's hash (:mod:`sessionlake.operators.integrity`), so that a reader can check the data and
+    equal data is known without reading it."""
+    versions, told = Versions(spark, repo), {}
+
+    def make(parent: int, now: dict) -> dict | None:
+        nonlocal told
+        remote = now.get("data", f"{versions.root}/none")
+        target = versions.new_folder("data")
+        told = publish(spark, remote, local, target)
+        if not told["written"]:
+            return None
+        found = content_tree(spark, target)
+        total = told["total"]
+        return {"data": target, "hash": integrity.root(found), "sessions": total, "merge": {k: told[k] for k in ("added", "updated", "carried_forward", "unchanged")}}
+
+    version, _ = versions.change(make, attempts)
+    return told | {"version": version}
+
+
+def content_tree(spark: SparkSession, path: str) -> DataFrame:
+    """The hash tree of a dataset of JSON lines, keyed by line: whatever files and order they are in."""
+    rows = spark.read.text(path).where(F.trim("value") != "")
+    return integrity.tree(integrity.leaves(rows, "value", F.sha2("value", 256)))
+
+
+def verify(spark: SparkSession, repo: str) -> bool:
+    """Whether the latest version's data still has the hash that was committed."""
+    _, now = Versions(spark, repo).latest()
+    return not now or integrity.root(content_tree(spark, now["data"])) == now["hash"]
+
+
 def diff(spark: SparkSession, old: str, new: str) -> tuple[DataFrame, DataFrame]:
     """Change events between two datasets of JSON lines with the patch of each modified record, and a row of counts."""
     from ..functions.json_values import patch_udf
