@@ -69,8 +69,10 @@ def unequal_leaves(a: DataFrame, b: DataFrame, levels: int = 3) -> list[str]:
 def differences(old: DataFrame, new: DataFrame, key: str, columns: list[str], levels: int = 3) -> DataFrame:
     """key, removed, added: how many rows of a key are in one dataset alone, found by reading rows of unequal leaves
     only. Rows that changed are one removed and one added."""
-    digest = row_digest(columns)
-    where = unequal_leaves(tree(leaves(old, key, digest, levels), levels), tree(leaves(new, key, digest, levels), levels), levels)
+    digest, spark = row_digest(columns), old.sparkSession
+    # The leaves' hashes, at most 16 ** levels rows, are computed once and compared from there.
+    fixed = lambda found: spark.createDataFrame(found.collect(), found.schema)
+    where = unequal_leaves(*[fixed(tree(leaves(rows, key, digest, levels), levels)) for rows in (old, new)], levels)
     near = lambda rows: rows.where(leaf_of(F.col(key), levels).isin(where) if where else F.lit(False)).select(key, digest.alias("_d"))
     both = near(old).withColumn("_n", F.lit(-1)).unionByName(near(new).withColumn("_n", F.lit(1)))
     net = both.groupBy(key, "_d").agg(F.sum("_n").alias("_n")).where("_n <> 0")

@@ -586,3 +586,70 @@ def unified_text_diff(spark, sf_dir):
 
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     return d.select("doc_id", unified_diff_udf(F.col("text"), F.concat(F.col("text"), F.lit("\nlast line"))).alias("diff"))
+
+
+def _claude_lines(t: DataFrame) -> DataFrame:
+    """Turns of conversations as lines of a claude log: conv_id, turn, value."""
+    said = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct(F.lit("text").alias("type"), "text")).alias("content")))).otherwise(F.to_json(F.struct(F.col("text").alias("content"))))
+    line = F.concat(F.lit('{"type":"'), "role", F.lit('","timestamp":"'), F.format_string("%d-%d", "conv_id", "turn"), F.lit('","cwd":"/w","message":'), said, F.lit("}"))
+    return t.where("role in ('user', 'assistant')").select("conv_id", "turn", line.alias("value"))
+
+
+@query()
+def long_log_turns(spark, sf_dir):
+    """Logs of a thousand conversations each, written and read again by byte splits: the messages of each log."""
+    from ..scratch import folder
+    from ..sources import long_logs
+
+    at = folder(spark, "claude-logs")
+    lines = _claude_lines(table(spark, sf_dir, "conversations")).withColumn("log", F.concat(F.lit("-home-ann-p"), F.floor(F.col("conv_id") / 1000)))
+    # A log is one file, so one task writes it, in order; there are as many logs as thousands of conversations.
+    lines.repartition("log").sortWithinPartitions("log", "conv_id", "turn").select("log", "value").write.option("maxRecordsPerFile", 0).partitionBy("log").text(at)
+    sessions, messages = long_logs.read(spark, "claude", at, pattern="*.txt")
+    return messages.join(sessions.select("path", "project"), "path").select("project", "n", "role", "timestamp", F.length("content").alias("chars"), F.md5("content").alias("digest"))
+
+
+@query()
+def selected_project_messages(spark, sf_dir):
+    """Logs of nine projects, of which three are read: their messages by project."""
+    from ..scratch import folder
+    from ..sources import selected
+
+    at = folder(spark, "project-logs")
+    lines = _claude_lines(table(spark, sf_dir, "conversations")).withColumn("log", F.concat(F.lit("-home-ann-p"), F.pmod("conv_id", F.lit(9))))
+    lines.repartition("log", F.pmod(F.hash("conv_id", "turn"), F.lit(64))).select("log", "value").write.option("maxRecordsPerFile", 5000).partitionBy("log").text(at)
+    found = selected.logs(spark, "claude", at, pattern="*.txt").where(F.col("project").isin("p1", "p4", "p7"))
+    count = lambda c: F.sum(f"stats.{c}").alias(c)
+    return found.groupBy("project").agg(count("user_messages"), count("assistant_messages"), F.sum(F.size("messages")).alias("messages"))
+
+
+@query()
+def latest_changes_by_runs(spark, sf_dir):
+    """The last change of each client, from four batches upserted one after the other into sorted runs."""
+    from ..scratch import folder
+    from ..streaming.runs import Runs
+
+    rows = table(spark, sf_dir, "client_changes").selectExpr(
+        "cast(client_id as string) as key", "cast(seq as int) as n_messages", "cast(change_id as long) as n_bytes", "cast(valid_at as string) as end_time",
+        "concat_ws('|', coalesce(op, ''), coalesce(segment, ''), coalesce(city, ''), coalesce(cast(balance as string), '')) as line",
+    )
+    runs = Runs(spark, folder(spark, "runs"), "key string, n_messages int, n_bytes long, end_time string, line string", fan=3)
+    for n in range(4):
+        runs.upsert(rows.where(F.pmod("n_bytes", F.lit(4)) == n), n)
+        runs.compact()
+    return runs.read().select(F.col("key").alias("client_id"), F.col("n_messages").alias("seq"), F.col("n_bytes").alias("change_id"), F.col("end_time").alias("valid_at"), "line")
+
+
+@query(
+    """select doc_id, cast(sum(case when doc_id % 11 = 3 or doc_id % 13 = 5 then 1 else 0 end) as bigint) as removed, cast(sum(case when doc_id % 11 = 3 and doc_id % 13 <> 5 then 1 else 0 end) as bigint) as added
+from documents where doc_id % 11 = 3 or doc_id % 13 = 5 group by doc_id"""
+)
+def dataset_differences(spark, sf_dir):
+    """Documents against a copy in which some changed and some are missing, found by hash trees."""
+    from ..operators.integrity import differences
+
+    columns = ["doc_id", "text", "lang", "source"]
+    old = table(spark, sf_dir, "documents").select(*columns)
+    changed = F.when(F.col("doc_id") % 11 == 3, F.concat(F.coalesce("text", F.lit("")), F.lit("."))).otherwise(F.col("text"))
+    new = old.where("doc_id is null or doc_id % 13 <> 5").withColumn("text", changed)
+    return differences(old, new, "doc_id", columns)

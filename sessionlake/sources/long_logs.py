@@ -220,12 +220,12 @@ class Long(NamedTuple):
 _SESSION = f"session_id string, model string, git_branch string, start_time string, end_time string, project string, source string, stats {STATS}"
 
 
-def read(spark: SparkSession, source: str, path: str, thinking: bool = True) -> Long:
+def read(spark: SparkSession, source: str, path: str, thinking: bool = True, pattern: str | None = None) -> Long:
     """The sessions of claude, codex or openclaw logs below a folder, of any size, as facts and messages. The same as
-    :func:`files.read` gives, root logs only; a log without messages has no rows. Splits are as large as
-    ``spark.sql.files.maxPartitionBytes`` says."""
+    :func:`files.read` gives, root logs only; a log without messages has no rows. ``pattern``: of file names, where they
+    are not the format's. Splits are as large as ``spark.sql.files.maxPartitionBytes`` says."""
     rule = RULES[source]
-    lines = spark.read.option("pathGlobFilter", rule.pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    lines = spark.read.option("pathGlobFilter", pattern or rule.pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
     if source == "claude":
         rows = rows.where(~F.col("path").contains("/subagents/"))
