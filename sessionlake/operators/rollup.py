@@ -34,6 +34,14 @@ def renormalized(rows: DataFrame, key: Column, name: str) -> DataFrame:
     return breakdown(rows, key, name, F.col("sessions"))
 
 
+def from_legacy(counts: DataFrame, key: Column, name: str) -> DataFrame:
+    """A breakdown from what older metadata holds: keys with a number of sessions (null: only the name is known) and no
+    tokens. Keys that are the same when normalized are summed up."""
+    zero = F.lit(0).cast("long")
+    own = counts.withColumn("sessions", F.coalesce(F.col("sessions").cast("long"), zero)).withColumn("input_tokens", zero).withColumn("output_tokens", zero)
+    return renormalized(own, key, name)
+
+
 def summary(sessions: DataFrame) -> DataFrame:
     """Totals and both breakdowns in one pass: kind (model, project, total), key, sums."""
     keyed = sessions.select(model_key(F.col("model")).alias("model"), project_key(F.col("project")).alias("project"), "input_tokens", "output_tokens")

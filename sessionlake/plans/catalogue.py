@@ -618,7 +618,7 @@ def selected_project_messages(spark, sf_dir):
     at = folder(spark, "project-logs")
     lines = _claude_lines(table(spark, sf_dir, "conversations")).withColumn("log", F.concat(F.lit("-home-ann-p"), F.pmod("conv_id", F.lit(9))))
     lines.repartition("log", F.pmod(F.hash("conv_id", "turn"), F.lit(64))).select("log", "value").write.option("maxRecordsPerFile", 5000).partitionBy("log").text(at)
-    found = selected.logs(spark, "claude", at, pattern="*.txt").where(F.col("project").isin("p1", "p4", "p7"))
+    found = selected.logs(spark, "claude", at, ["p1", "p4", "p7"], pattern="*.txt")
     count = lambda c: F.sum(f"stats.{c}").alias(c)
     return found.groupBy("project").agg(count("user_messages"), count("assistant_messages"), F.sum(F.size("messages")).alias("messages"))
 

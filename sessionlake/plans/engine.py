@@ -13,14 +13,21 @@ from ..operators import diff as compare
 from ..operators import gates, integrity, merge, redact, scans
 from ..sinks import jsonl
 from ..sinks.versions import Versions
-from ..sources import files, sqlite
+from ..sources import files, selected, sqlite
 
 
-def read(spark: SparkSession, stores: dict[str, str], thinking: bool = True) -> DataFrame:
-    """The sessions of several sources (source to path), one table."""
+def read(spark: SparkSession, stores: dict[str, str], thinking: bool = True, projects: list[str] | None = None) -> DataFrame:
+    """The sessions of several sources (source to path), one table; of some ``projects`` only, or of all. Where a source
+    can tell a log's project without reading it, no other project's logs are read."""
     out = None
     for source, path in stores.items():
-        one = sqlite.READERS[source](spark, path, thinking) if source in sqlite.READERS else files.read(spark, source, path, thinking)
+        if source in sqlite.READERS:
+            one = sqlite.READERS[source](spark, path, thinking)
+        elif projects is not None and source in selected.SOURCES:
+            one = selected.logs(spark, source, path, projects, thinking)
+        else:
+            one = files.read(spark, source, path, thinking)
+        one = one if projects is None else one.where(F.col("project").isin(*projects))
         out = one if out is None else out.unionByName(one)
     if out is None:
         raise ValueError("no source given")
@@ -135,11 +142,14 @@ def verify(spark: SparkSession, repo: str) -> bool:
 
 
 def diff(spark: SparkSession, old: str, new: str) -> tuple[DataFrame, DataFrame]:
-    """Change events between two datasets of JSON lines with the patch of each modified record, and a row of counts."""
+    """Change events between two datasets of JSON lines with the patch of each modified record, and a row of counts.
+    Raises ValueError where a line is no JSON object: what cannot be compared must not look unchanged."""
     from ..functions.json_values import patch_udf
 
     def rows(path: str) -> DataFrame:
-        good, _ = _records(spark, path, missing_is_empty=False)
+        good, bad = _records(spark, path, missing_is_empty=False)
+        if wrong := bad.limit(3).collect():
+            raise ValueError(f"{path}: not a JSON object: " + "; ".join(r["line"][:80] for r in wrong))
         identity = F.concat_ws("\x1f", *[F.coalesce(F.col(c), F.lit("\x00")) for c in ("source", "project", "session_id", "start_time")])
         masked = F.regexp_replace("canonical", r'"originalFile":"(?:[^"\\]|\\.)*"', '"originalFile":""')
         return good.select(identity.alias("key"), F.sha2(masked, 256).alias("digest"), F.col("order").alias("line"), F.col("canonical").alias("record"))

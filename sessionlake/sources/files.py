@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.json_values import canonical
+from ..functions.scalars import project_of_encoded_dir
+from ..operators.paths import prefixes, resolve_hashes
 from ..schema import SESSION
 from . import formats
 from .transcript import session, valid_text
@@ -136,8 +138,9 @@ def _texts(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     return found.select(F.col("_metadata.file_path").alias("path"), "value")
 
 
-def read(spark: SparkSession, source: str, path: str, thinking: bool = True) -> DataFrame:
-    """The sessions below a folder of logs of one of claude, codex, gemini, kimi, openclaw or custom."""
+def read(spark: SparkSession, source: str, path: str, thinking: bool = True, known: DataFrame | None = None) -> DataFrame:
+    """The sessions below a folder of logs of one of claude, codex, gemini, kimi, openclaw or custom. ``known``: folders
+    (column path) that hashed names of gemini projects may stand for."""
     if source == "custom":
         return read_custom(spark, path)
     pattern, parse = _FILES[source]
@@ -155,6 +158,8 @@ def read(spark: SparkSession, source: str, path: str, thinking: bool = True) ->
         out = out.unionByName(_subagents(spark, path, thinking))
     if source == "kimi":
         out = _kimi_projects(spark, path, out)
+    if source == "gemini":
+        out = gemini_projects(out, known)
     return out
 
 
@@ -182,6 +187,23 @@ def _subagents(spark: SparkSession, path: str, thinking: bool) -> DataFrame:
     return owner.join(roots, "owner", "left").groupBy("owner").applyInPandas(fold, SESSION)
 
 
+def gemini_projects(sessions: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Projects named by the SHA-256 of a folder get the folder's name: one of ``known``, or a folder above a file that
+    one of the project's sessions worked on. Others keep eight digits; names that are no hash stay."""
+    digest = F.regexp_extract("project", r"^gemini:(.{64})$", 1)
+    hashed = sessions.select(digest.alias("hash"), "messages").where("hash <> ''")
+    uses = F.flatten(F.transform(F.filter("messages", lambda m: m["tool_uses"].isNotNull()), lambda m: m["tool_uses"]))
+    given = F.explode(F.array_distinct(F.transform(uses, lambda t: F.coalesce(F.get_json_object(t["input"], "$.file_path"), F.get_json_object(t["input"], "$.path")))))
+    touched = hashed.select("hash", given.alias("path")).where("path like '/%'").distinct()
+    found = resolve_hashes(hashed, prefixes(touched, "path").select(F.col("prefix").alias("path")).where("path <> ''").distinct(), "hash", "path")
+    if known is not None:
+        found = found.select("hash", "path").unionByName(resolve_hashes(hashed, known.select("path").distinct(), "hash", "path").select("hash", "path"))
+    names = found.groupBy("hash").agg(F.element_at(F.split(F.min("path"), "/"), -1).alias("folder"))
+    own = sessions.withColumn("hash", digest).join(names, "hash", "left")
+    short = F.concat(F.lit("gemini:"), F.coalesce("folder", F.substring("hash", 1, 8)))
+    return own.withColumn("project", F.when(F.col("hash") != "", short).otherwise(F.col("project"))).select(sessions.columns)
+
+
 def _kimi_projects(spark: SparkSession, path: str, sessions: DataFrame) -> DataFrame:
     """Folders named by a hash of the project's path, by the paths that the tool's settings list."""
     dirs = _texts(spark, path, "kimi.json").select(F.explode(F.from_json("value", "work_dirs array<struct<path string>>")["work_dirs"]["path"]).alias("p"))
@@ -222,13 +244,34 @@ def catalog(spark: SparkSession, source: str, path: str) -> DataFrame:
     listed = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path).select("path", F.col("length").alias("bytes"))
     parts = F.split("path", "/")
     if source == "claude":
-        # project/<session>.jsonl, and project/<session>/subagents/<agent>.jsonl: one session with what it started.
+        # project/<session>.jsonl is a session, and so are project/<session>/subagents/agent-*.jsonl together.
         below = F.element_at(parts, -2) == "subagents"
+        agent = below & F.element_at(parts, -1).startswith("agent-")
+        root = ~F.col("path").contains("/subagents/")
         project = F.when(below, F.try_element_at(parts, F.lit(-4))).otherwise(F.element_at(parts, -2))
-        one = F.when(below, F.try_element_at(parts, F.lit(-3))).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.jsonl$", ""))
-        sessions = listed.groupBy(project.alias("project"), one.alias("session")).agg(F.sum("bytes").alias("bytes"))
-        return project_catalog(sessions.select(F.lit(source).alias("source"), "project", "bytes"))
+        one = F.when(below, F.try_element_at(parts, F.lit(-3))).otherwise(F.element_at(parts, -1))
+        sessions = listed.where(root | agent).groupBy(project.alias("folder"), below.alias("agents"), one.alias("session")).agg(F.sum("bytes").alias("bytes"))
+        return project_catalog(sessions.select(F.lit(source).alias("source"), project_of_encoded_dir(F.col("folder")).alias("project"), "bytes"))
     up = {"gemini": 3, "kimi": 3}.get(source, 2)
     found = listed.select(F.lit(source).alias("source"), F.element_at(parts, -up).alias("project"), "bytes")
     return project_catalog(found.where("project <> 'bin'") if source == "gemini" else found)
 
+
+
+def catalogs(spark: SparkSession, stores: dict[str, str]) -> DataFrame:
+    """The projects of several sources (source to path), by name, then source. Stores in SQLite count their sessions;
+    their bytes are those of the texts that the sessions hold."""
+    from . import sqlite
+    from ..operators.rollup import project_catalog
+
+    out = None
+    for source, path in stores.items():
+        if source in sqlite.READERS:
+            size = F.octet_length(F.to_json("messages")).cast("long").alias("bytes")
+            one = project_catalog(sqlite.READERS[source](spark, path).select("source", "project", size))
+        else:
+            one = catalog(spark, source, path)
+        out = one if out is None else out.unionByName(one)
+    if out is None:
+        raise ValueError("no source given")
+    return out.orderBy("project", "source")

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import posixpath
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from pathlib import PurePosixPath, PureWindowsPath
 from typing import Any
 
 from ..operators.redact import is_blob
@@ -25,6 +27,20 @@ def url_part(kind: str, url: str, media_type: str | None = None) -> dict:
     return {"type": kind, "source": {"type": "url", **({"media_type": media_type} if media_type else {}), "url": url}}
 
 
+def file_url(path: str, cwd: str | None = None) -> str:
+    """The address of a local file. A relative path is one below ``cwd``, if that is absolute; paths of Windows have
+    their own rules. What stays relative stays as it is."""
+    windows = lambda p: PureWindowsPath(p).is_absolute()
+    if not windows(path) and not path.startswith("/") and cwd:
+        if windows(cwd):
+            path = str(PureWindowsPath(cwd) / path)
+        elif cwd.startswith("/"):
+            path = posixpath.join(cwd, path.replace("\\", "/"))
+    if windows(path):
+        return PureWindowsPath(path).as_uri()
+    return PurePosixPath(path.replace("\\", "/")).as_uri() if path.startswith("/") else path
+
+
 def part_kind(media_type: str | None) -> str:
     return "image" if (media_type or "").startswith("image/") else "document"
 
@@ -136,8 +152,9 @@ def claude_output(block: dict, extra: Any, origin: Any = None) -> dict | None:
 # codex
 
 
-def codex(entries: list[dict]) -> Iterator[Event]:
-    """Thoughts and calls wait for the next message; parts of a user's turn for its text."""
+def codex(entries: list[dict], cwd: str | None = None) -> Iterator[Event]:
+    """Thoughts and calls wait for the next message; parts of a user's turn for its text. ``cwd``: the folder at the
+    first entry, where these are not the log's first ones; local images are below it."""
     thoughts: list[str] = []
     tools: list[Tool] = []
     parts: list[dict] = []
@@ -158,12 +175,14 @@ def codex(entries: list[dict]) -> Iterator[Event]:
             parts.clear()
         time = now
         if kind == "session_meta":
+            cwd = payload.get("cwd") or cwd
             yield Meta("session_id", payload.get("id"))
             yield Meta("cwd", payload.get("cwd"), first=False)
             yield Meta("git_branch", obj(payload.get("git")).get("branch"))
             if payload.get("model_provider"):
                 yield Meta("provider", payload["model_provider"])
         elif kind == "turn_context":
+            cwd = payload.get("cwd") or cwd
             yield Meta("cwd", payload.get("cwd"), first=False)
             yield Meta("model", payload.get("model"))
         elif kind == "response_item" and user:
@@ -186,9 +205,10 @@ def codex(entries: list[dict]) -> Iterator[Event]:
             yield Tokens(count(total.get("input_tokens")), count(total.get("output_tokens")), total=True)
         elif sub == "user_message":
             yield flush(now)
-            given = [x for k in ("images", "local_images") for x in lst(payload.get(k)) if isinstance(x, str)]
+            given = [url_part("image", x) for x in lst(payload.get("images")) if isinstance(x, str)]
+            given += [url_part("image", file_url(x, cwd)) for x in lst(payload.get("local_images")) if isinstance(x, str)]
             text = payload.get("message")
-            yield Said("user", now, text.strip() if isinstance(text, str) else None, parts=list(parts) or [url_part("image", x if re.match(r"[a-z]+:", x) else f"file://{x}") for x in given])
+            yield Said("user", now, text.strip() if isinstance(text, str) else None, parts=list(parts) or given)
             parts.clear()
         elif sub == "agent_message":
             text = payload.get("message")

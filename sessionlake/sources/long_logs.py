@@ -5,7 +5,7 @@ once, line by line. What a split adds to its session is a :class:`Span`, and spa
 last wins), sums, largest running totals, time bounds. Some formats hold things back until a later line (a codex message
 takes the thoughts and calls before it); a *stretch* ends at a line after which nothing is held back, and folds alone. So
 a split folds all its stretches but the first and the last: those lines it hands on, and a scan over the file's splits
-joins the end of one to the beginning of the next. Results find their calls by a join, in whichever split they are.
+joins the end of one to the beginning of the next (and folds what needs the folder that an earlier split named). Results find their calls by a join, in whichever split they are.
 
 A session is then a row of facts and a table of messages; nothing but a stretch, and a line, must fit into memory.
 """
@@ -82,20 +82,26 @@ def _codex_closes(e: dict) -> bool:
     return e.get("type") not in ("session_meta", "turn_context", "response_item") and payload.get("type") in ("user_message", "agent_message")
 
 
+def _local_images(e: dict) -> bool:
+    payload = e.get("payload")
+    return isinstance(payload, dict) and bool(payload.get("local_images"))
+
+
 class Rule(NamedTuple):
-    """A format: its events, and the entries after which nothing is held back (None: all)."""
+    """A format: its events (of entries and the folder before them), and the entries after which nothing is held back
+    (None: all)."""
 
     pattern: str
-    events: Callable[[list[dict]], Iterator[Event]]
+    events: Callable[[list[dict], str | None], Iterator[Event]]
     closes: Callable[[dict], bool] | None = None
     header: bool = False  # the log's first entry says whether it is one
 
 
 RULES = {
-    "claude": Rule("*.jsonl", formats.claude),
+    "claude": Rule("*.jsonl", lambda found, _: formats.claude(found)),
     "codex": Rule("*.jsonl", formats.codex, _codex_closes),
     # The header is the first entry of the file, wherever it lies: a span keeps it, and the scan takes its facts.
-    "openclaw": Rule("*.jsonl", lambda found: formats.openclaw([{"type": "session"}, *found]), header=True),
+    "openclaw": Rule("*.jsonl", lambda found, _: formats.openclaw([{"type": "session"}, *found]), header=True),
 }
 
 _TOOLS = "array<struct<tool:string,id:string,input:string,output:string,status:string,call_id:string>>"
@@ -104,9 +110,9 @@ _KINDS = {"long": pa.int64(), "string": pa.string(), "array<string>": pa.list_(p
 _ARROW = pa.schema([(c.split(" ")[0], _KINDS[c.split(" ")[1]]) for c in _EVENTS.split(", ")])
 
 
-def folded(found: list[dict], rule: Rule, thinking: bool, span: Span) -> Iterator[dict]:
+def folded(found: list[dict], rule: Rule, thinking: bool, span: Span, cwd: str | None) -> Iterator[dict]:
     """Messages and results of a stretch, in order; ``span`` takes in the rest."""
-    for e in rule.events(found):
+    for e in rule.events(found, cwd):
         if isinstance(e, Result):
             yield {"kind": "result", "call_id": e.call_id, "output": canonical(_clean(e.output)) if e.output else None, "status": e.status}
         elif not isinstance(e, Said):
@@ -134,6 +140,8 @@ class Walk:
         self.head: list[dict] | None = None if rule.closes else []
         self.held: list[dict] = []
         self.span, self.opening, self.k = Span(), None, 0
+        self.cwd: str | None = None
+        self.waiting: list[tuple[int, list[dict]]] = []  # stretches that need the folder, before the split names one
 
     def line(self, text: str) -> Iterator[dict]:
         for e in entries(text):
@@ -145,13 +153,20 @@ class Walk:
             if self.head is None:
                 self.head = self.held
             else:
-                for row in folded(self.held, self.rule, self.thinking, self.span):
-                    yield {**self.at, "k": self.k, **row}
+                waits = self.rule.closes and self.cwd is None and any(map(_local_images, self.held))
+                if waits:
+                    self.waiting.append((self.k, self.held))
+                for row in folded(self.held, self.rule, self.thinking, self.span, self.cwd):
+                    if not waits:
+                        yield {**self.at, "k": self.k, **row}
                     self.k += 1
+            for held in self.held if self.rule.closes else ():
+                payload = held.get("payload")
+                self.cwd = isinstance(payload, dict) and held.get("type") in ("session_meta", "turn_context") and payload.get("cwd") or self.cwd
             self.held = []
 
     def end(self) -> dict:
-        handed = {"opening": self.opening, "closed": self.head is not None, "head": self.head or [], "tail": self.held, "span": asdict(self.span)}
+        handed = {"opening": self.opening, "closed": self.head is not None, "head": self.head or [], "tail": self.held, "waiting": self.waiting, "span": asdict(self.span)}
         return {**self.at, "k": 0, "kind": "span", "span": json.dumps(handed)}
 
 
@@ -163,22 +178,23 @@ def joined_up(path: str, spans: list[tuple[int, str]], source: str, thinking: bo
     rule = RULES[source]
     total, held, opening, block = Span(), [], None, 0
 
-    def stretch(found: list[dict], first: int) -> Iterator[dict]:
-        own = Span()
-        for n, row in enumerate(folded(found, rule, thinking, own)):
+    def stretch(found: list[dict], first: int, own: Span) -> Iterator[dict]:
+        cwd = total.facts.get("cwd", [None] * 4)[3]
+        for n, row in enumerate(folded(found, rule, thinking, own, cwd)):
             yield {"path": path, "block": block, "k": first + n, **row}
-        nonlocal total
-        total = total.then(own)
 
     for block, text in sorted(spans):
         s = json.loads(text)
         opening = s["opening"] if opening is None else opening
         if s["closed"]:
-            yield from stretch(held + s["head"], -_FAR)
-            held = []
+            yield from stretch(held + s["head"], -_FAR, own := Span())
+            total, held = total.then(own), []
+        for first, entries_ in s["waiting"]:
+            yield from stretch(entries_, first, Span())  # its split has counted it
         held += s["tail"]
         total = total.then(Span(**s["span"]))
-    yield from stretch(held, _FAR)
+    yield from stretch(held, _FAR, own := Span())
+    total = total.then(own)
     if rule.header and (opening or {}).get("type") != "session":
         return
     if rule.header:

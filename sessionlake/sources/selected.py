@@ -1,4 +1,8 @@
-"""Logs of chosen projects: a data source that takes Spark's filters on ``project`` and opens no other project's files.
+"""Logs of chosen projects: a data source that opens no other project's files.
+
+The projects are an option of the source, not a filter that Spark pushes down: Spark 4.1 keeps what it pushed into a Python
+source with the loaded table, so that two filters on one DataFrame see each other's files (measured: a union of two
+projects' rows had one project's rows alone).
 
 A claude log's project is its folder, so other folders are never listed further. A codex or openclaw log names its project
 in its first lines, so those alone are read of the others. Files go to tasks by longest processing time: the largest
@@ -11,6 +15,7 @@ from __future__ import annotations
 import fnmatch
 import heapq
 import io
+import json
 from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from itertools import islice
@@ -18,7 +23,8 @@ from itertools import islice
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, In, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -86,14 +92,7 @@ class AgentLogsReader(DataSourceReader):
             raise ValueError(f"source must be one of {SOURCES}")
         self.pattern = options.get("pattern", "*.jsonl")
         self.tasks, self.target = int(options.get("tasks", "1000")), int(options.get("bytes", str(1 << 27)))
-        self.wanted: set[str] | None = None
-
-    def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
-        for f in filters:
-            values = [f.value] if isinstance(f, EqualTo) and f.attribute == ("project",) else list(f.value) if isinstance(f, In) and f.attribute == ("project",) else None
-            if values is not None:
-                self.wanted = set(values) if self.wanted is None else self.wanted & set(values)
-            yield f  # Spark looks again at what was read
+        self.wanted: set[str] | None = set(json.loads(options["projects"])) if "projects" in options else None
 
     def _list(self, folder: str, recursive: bool) -> list[pafs.FileInfo]:
         return self.fs.get_file_info(pafs.FileSelector(folder, recursive=recursive, allow_not_found=True))
@@ -171,10 +170,12 @@ class AgentLogs(DataSource):
         return AgentLogsReader(self.options, schema)
 
 
-def logs(spark: SparkSession, source: str, path: str, thinking: bool = True, **options: str) -> DataFrame:
-    """The sessions of claude, codex or openclaw logs below a folder, as :func:`files.read` gives them. Filters on
-    ``project`` (equal to, or one of some values) decide which files are opened; Spark's setting for filters of Python
-    sources is turned on for the session. Also ``pattern`` of file names, ``tasks`` at most and ``bytes`` of a task."""
-    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+def logs(spark: SparkSession, source: str, path: str, projects: Iterable[str] | None = None, thinking: bool = True, **options: str) -> DataFrame:
+    """The sessions of claude, codex or openclaw logs below a folder, as :func:`files.read` gives them; of some
+    ``projects`` only, or of all. Also ``pattern`` of file names, ``tasks`` at most and ``bytes`` of a task."""
     spark.dataSource.register(AgentLogs)
-    return spark.read.format("agent_logs").options(source=source, thinking=str(thinking).lower(), **options).load(path)
+    names = None if projects is None else sorted(set(projects))
+    chosen = {} if names is None else {"projects": json.dumps(names)}
+    found = spark.read.format("agent_logs").options(source=source, thinking=str(thinking).lower(), **chosen, **options).load(path)
+    # A log's first lines may name another project than its last ones.
+    return found if names is None else found.where(F.col("project").isin(*names))

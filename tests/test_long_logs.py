@@ -56,6 +56,8 @@ def codex(rng, n):
             yield {**at, "type": "response_item", "payload": {"type": "function_call_output", "call_id": f"k{rng.randrange(n)}", "output": f"plain {i}\nOutput:\nx"}}
         elif kind == 4:
             yield {**at, "type": "response_item", "payload": {"type": "message", "role": "user", "content": [{"type": "input_image", "image_url": f"https://x/{i}"}]}}
+        elif kind == 5 and i % 3 == 0:
+            yield {**at, "type": "event_msg", "payload": {"type": "user_message", "message": f"see {i}", "local_images": [f"pic{i}.png"]}}
         elif kind == 5:
             yield {**at, "type": "event_msg", "payload": {"type": "user_message", "message": f"say {i}"}}
         elif kind == 6:

@@ -5,8 +5,6 @@ from pathlib import Path
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-from pyspark.sql.datasource import EqualTo, In
 from pyspark.sql.types import StructType
 
 from sessionlake.schema import SESSION
@@ -49,34 +47,35 @@ def test_the_same_sessions(spark, claude):
 
 
 def test_only_the_chosen_projects_files_are_opened(spark, claude):
-    all_of = selected.logs(spark, "claude", str(claude))
-    one = all_of.where("project = 'tool'")
-    # The plan's own tasks: the chosen files fill one, all of them more.
-    assert one.rdd.getNumPartitions() == 1 < all_of.rdd.getNumPartitions()
-    assert one.count() == 3 and all_of.where(F.col("project").isin("tool", "app")).count() == 8
-    assert all_of.where("project = 'tool' and project = 'app'").count() == 0
-    reader = AgentLogsReader({"path": str(claude)}, StructType.fromDDL(SESSION))
-    kept = EqualTo(("project",), "tool")
-    assert list(reader.pushFilters([kept])) == [kept]
+    pick = lambda *projects: selected.logs(spark, "claude", str(claude), projects)
+    assert pick("tool").count() == 3 and pick("tool", "app").count() == 8 and pick().count() == 0 and pick("gone").count() == 0
+    tool, app, every = pick("tool"), pick("app"), selected.logs(spark, "claude", str(claude))
+    assert tool.union(app).union(every).count() == 3 + 5 + 11
+    assert tool.rdd.getNumPartitions() < every.rdd.getNumPartitions()  # tasks of the files that are read
+    reader = AgentLogsReader({"path": str(claude), "projects": '["tool"]'}, StructType.fromDDL(SESSION))
     names = [p for b in reader.partitions() for u in b.units for p in u.paths]
     assert len(names) == 3 and all("-home-ann-tool/" in p for p in names)
-    reader = AgentLogsReader({"path": str(claude)}, StructType.fromDDL(SESSION))
-    list(reader.pushFilters([In(("project",), ("app", "gone")), EqualTo(("model",), "m")]))
-    assert {Path(p).parts[len(claude.parts)] for b in reader.partitions() for u in b.units for p in u.paths} == {"-home-ann-app"}
 
 
 def test_other_projects_may_be_unreadable(spark, claude, monkeypatch):
     """A selection works although every file of the other projects fails when it is opened."""
-    real = AgentLogsReader._session
+    reader = AgentLogsReader({"path": str(claude), "projects": '["tool"]'}, StructType.fromDDL(SESSION))
+    monkeypatch.setattr(reader, "fs", _Watched(reader.fs))
+    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
 
-    def strict(self, unit):
-        assert all("-home-ann-tool/" in p for p in unit.paths)
-        return real(self, unit)
 
-    monkeypatch.setattr(AgentLogsReader, "_session", strict)
-    reader = AgentLogsReader({"path": str(claude)}, StructType.fromDDL(SESSION))
-    list(reader.pushFilters([EqualTo(("project",), "tool")]))
-    assert sum(b.num_rows for p in reader.partitions() for b in reader.read(p)) == 3
+class _Watched:
+    """A file system that lists everything and opens one project's files."""
+
+    def __init__(self, inner):
+        self.inner = inner
+
+    def get_file_info(self, selector):
+        return self.inner.get_file_info(selector)
+
+    def open_input_stream(self, path):
+        assert "-home-ann-tool/" in path
+        return self.inner.open_input_stream(path)
 
 
 @pytest.mark.parametrize("source", ["codex", "openclaw"])
@@ -91,7 +90,7 @@ def test_projects_named_in_the_log(spark, tmp_path, source):
     put(tmp_path / "a" / "empty.jsonl", [])
     frame = selected.logs(spark, source, str(tmp_path))
     assert rows(frame) == rows(files.read(spark, source, str(tmp_path)))
-    assert sorted(r["session_id"] for r in frame.where(f"project = '{source}:p1'").collect()) == sorted(f"{source[0]}{n}" for n in (1, 4))
+    assert sorted(r["session_id"] for r in selected.logs(spark, source, str(tmp_path), [f"{source}:p1"]).collect()) == sorted(f"{source[0]}{n}" for n in (1, 4))
     reader = AgentLogsReader({"path": str(tmp_path), "source": source}, StructType.fromDDL(SESSION))
     reader.wanted = {f"{source}:p1"}
     assert sorted(Path(u.paths[0]).name for u in reader.units()) == ["1.jsonl", "4.jsonl", "empty.jsonl"]

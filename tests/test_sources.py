@@ -228,3 +228,65 @@ def test_times_and_text():
 @pytest.mark.parametrize("name,expected", [("mcp_srv_do_it", "do_it"), ("mcp-srv-srv-do-it", "do-it"), ("mcp-srv-user-srv-do", "do"), ("plain", "plain"), ("mcp_x", "mcp_x"), ("mcp-a-b-do_it", "do_it")])
 def test_tool_names(name, expected):
     assert formats.tool_name(name) == expected
+
+
+def test_local_images_of_codex():
+    url = formats.file_url
+    assert url("/a/b c.png") == "file:///a/b%20c.png" and url("x/y.png", "/w/app") == "file:///w/app/x/y.png"
+    assert url("x\\y.png", "C:\\w") == "file:///C:/w/x/y.png" and url("C:\\a\\b.png", "/w") == "file:///C:/a/b.png"
+    assert url("x.png") == "x.png" and url("x.png", "rel") == "x.png"
+    events = list(formats.codex([{"type": "session_meta", "payload": {"cwd": "/w"}}, {"type": "event_msg", "payload": {"type": "user_message", "message": "m", "images": ["https://x/y"], "local_images": ["a.png"]}}]))
+    assert [p["source"]["url"] for e in events if getattr(e, "role", "") == "user" for p in e.parts] == ["https://x/y", "file:///w/a.png"]
+
+
+def test_catalogs_count_what_is_read(spark, tmp_path):
+    base = tmp_path / "claude" / "-Users-ann-Documents-app"
+    line = [{"type": "user", "timestamp": T0, "message": {"content": "x"}}]
+    for name in ("s1.jsonl", "s2.jsonl", "s1/subagents/agent-1.jsonl", "s1/subagents/agent-2.jsonl", "alone/subagents/agent-1.jsonl"):
+        put(base / name, line)
+    put(base / "s1" / "subagents" / "notes.jsonl", line)
+    put(tmp_path / "claude" / "-home-bob-b" / "s.jsonl", line)
+    put(tmp_path / "custom" / "app" / "a.jsonl", [{"session_id": str(n), "model": "m", "messages": [{"role": "user", "content": "x"}]} for n in range(2)])
+    found = files.catalogs(spark, {"custom": str(tmp_path / "custom"), "claude": str(tmp_path / "claude")}).collect()
+    assert [(r["project"], r["source"], r["session_count"]) for r in found] == [("app", "claude", 4), ("app", "custom", 2), ("b", "claude", 1)]
+    read = files.read(spark, "claude", str(tmp_path / "claude")).groupBy("project").count().collect()
+    assert {r["project"]: r["count"] for r in read} == {"app": 4, "b": 1}
+    assert found[0]["total_size_bytes"] == 5 * (base / "s1.jsonl").stat().st_size
+    with pytest.raises(ValueError):
+        files.catalogs(spark, {})
+
+
+def test_hashed_gemini_projects(spark, tmp_path):
+    sha = lambda p: hashlib.sha256(p.encode()).hexdigest()
+    use = lambda p, key="file_path": {"name": "read_file", "args": {key: p}, "result": []}
+    document = lambda *calls: [{"sessionId": "g", "messages": [{"type": "gemini", "content": "x", "toolCalls": list(calls)}]}]
+    put(tmp_path / sha("/home/ann/app") / "chats" / "session-1.json", document(use("/home/ann/app/src/a.py"), use("relative/x")))
+    put(tmp_path / sha("/home/ann/app") / "chats" / "session-2.json", document())
+    put(tmp_path / sha("/home/ann/site") / "chats" / "session-1.json", document())
+    put(tmp_path / sha("/elsewhere") / "chats" / "session-1.json", document(use("/home/ann/app/b.py")))
+    put(tmp_path / "named" / "chats" / "session-1.json", document())
+    count = lambda df: {r["project"]: r["count"] for r in df.groupBy("project").count().collect()}
+    short = {p: f"gemini:{sha(p)[:8]}" for p in ("/home/ann/site", "/elsewhere")}
+    assert count(files.read(spark, "gemini", str(tmp_path))) == {"gemini:app": 2, "gemini:named": 1, short["/home/ann/site"]: 1, short["/elsewhere"]: 1}
+    known = spark.createDataFrame([("/home/ann/site",), ("/home/ann/other",)], "path string")
+    assert count(files.read(spark, "gemini", str(tmp_path), known=known)) == {"gemini:app": 2, "gemini:named": 1, "gemini:site": 1, short["/elsewhere"]: 1}
+
+
+def test_selected_projects_and_malformed_lines(spark, tmp_path):
+    for p in ("app", "site"):
+        put(tmp_path / "claude" / f"-home-ann-{p}" / "s.jsonl", [{"type": "user", "timestamp": T0, "message": {"content": p}}])
+    found = engine.read(spark, {"claude": str(tmp_path / "claude")}, projects=["site"]).collect()
+    assert [(r["project"], r["messages"][0]["content"]) for r in found] == [("site", "site")]
+    put(tmp_path / "old" / "a.jsonl", [{"session_id": "1", "messages": []}])
+    put(tmp_path / "new" / "a.jsonl", [{"session_id": "1", "messages": []}, "not json", "[1]"])
+    with pytest.raises(ValueError, match="not a JSON object"):
+        engine.diff(spark, str(tmp_path / "old"), str(tmp_path / "new"))
+
+
+def test_breakdowns_of_older_metadata(spark):
+    from sessionlake.functions.scalars import model_key
+    from sessionlake.operators import rollup
+
+    old = spark.createDataFrame([("v/Model_1.0", 3), ("model-1-0", 2), ("Model-1-0", None), ("other", None)], "name string, sessions int")
+    found = {r["model"]: tuple(r)[1:] for r in rollup.from_legacy(old, model_key(F.col("name")), "model").collect()}
+    assert found["Model-1-0"] == (3, 0, 0) and found["model-1-0"] == (2, 0, 0) and found["other"] == (0, 0, 0)
