@@ -4,8 +4,9 @@ A candidate is a maximal run of at least ``shortest`` characters of the secret a
 characters slides over it; counts per character, kept for each class of characters, change by one character in and one
 out, so a step costs a constant. A window counts where the entropy of a class's characters in it reaches that class's
 threshold and the class fills most of the window. Neighbouring windows that count merge into one span. Allow-listed
-candidates (all letters of one case, digests named as such, UUIDs, ascending characters, words joined by separators,
-placeholders) give none; repeated characters are for the windows' entropy to tell. What one of the fixed
+candidates (all letters of one case, digests named as such and no longer than one, UUIDs, ascending characters, words
+joined by separators) give none; a placeholder (``example``, ``xxxx``) hides the windows that touch it and no others, so
+that chance can't hide a long secret. Repeated characters are for the windows' entropy to tell. What one of the fixed
 patterns covers is left to it.
 """
 
@@ -34,6 +35,7 @@ _ALPHABET = b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=
 _SECRET_RUN = bytes(120 if c in _ALPHABET else 32 for c in range(256))
 _UUID = re.compile(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}")
 _PLACEHOLDER = re.compile(r"(?i)example|sample|dummy|placeholder|changeme|your[_-]|xxxx|test[_-]?key|lorem")
+_LONGEST_DIGEST = 128
 _DIGEST = re.compile(r"(?i)(?:sha-?(?:1|256|384|512)|md5|integrity|checksum|commit|digest)[\"']?\s*[:=-]\s*[\"']?$")
 
 
@@ -63,7 +65,7 @@ def allowed(candidate: str, before: str = "") -> bool:
         return True
     if not letters:
         return True
-    if _UUID.fullmatch(candidate) or _PLACEHOLDER.search(candidate) or _DIGEST.search(before):
+    if _UUID.fullmatch(candidate) or len(candidate) <= _LONGEST_DIGEST and _DIGEST.search(before):
         return True
     parts = [p for p in re.split(r"[-_/+=]", candidate) if p]
     if len(parts) > 1 and all(p.isalpha() and (p.islower() or p.isupper() or p.istitle()) or p.isdigit() and len(p) <= 4 for p in parts):
@@ -105,6 +107,15 @@ def window_spans(candidate: str, rule: Entropy = Entropy()) -> list[tuple[int, i
     return spans
 
 
+def secret_spans(candidate: str, rule: Entropy = Entropy()) -> list[tuple[int, int]]:
+    """The merged windows that count and touch no placeholder: those of the stretches between placeholders."""
+    cuts = [(m.start(), m.end()) for m in _PLACEHOLDER.finditer(candidate)]
+    spans: list[tuple[int, int]] = []
+    for start, end in zip([0, *[b for _, b in cuts]], [*[a for a, _ in cuts], len(candidate)]):
+        spans += [(a + start, b + start) for a, b in window_spans(candidate[start:end], rule)]
+    return spans
+
+
 def beside(candidate: str, a: int, b: int, taken: list[tuple[int, int]], rule: Entropy = Entropy()) -> list[tuple[int, int]]:
     """What of a merged span no taken span covers: the span itself if none touches it, else the windows that count in
     the pieces left between."""
@@ -113,7 +124,7 @@ def beside(candidate: str, a: int, b: int, taken: list[tuple[int, int]], rule: E
         return [(a, b)]
     out, at = [], a
     for x, y in [*over, (b, b)]:
-        out += [(at + u, at + v) for u, v in window_spans(candidate[at : max(at, x)], rule)]
+        out += [(at + u, at + v) for u, v in secret_spans(candidate[at : max(at, x)], rule)]
         at = max(at, y)
     return out
 
@@ -144,7 +155,7 @@ def scan(text: str | None, rule: Entropy = Entropy()) -> list[tuple[str, int, in
             first += 1
         if not allowed(candidate, text[max(0, start - 24) : start]):
             taken = [(x - start, y - start) for x, y in itertools.takewhile(lambda s: s[0] < start + len(candidate), base[first:])]
-            for a, b in window_spans(candidate, rule):
+            for a, b in secret_spans(candidate, rule):
                 found += [("entropy", start + x, start + y) for x, y in beside(candidate, a, b, taken, rule)]
         at = runs.find(b"x" * rule.shortest, end)
     return sorted(found, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

@@ -115,3 +115,38 @@ def test_time_is_linear_in_the_text():
     long = secrets.scan(one * 8)
     assert len(long) == 8 * len(short) and time.process_time() - middle < 30 * (middle - began)
     assert [(k, a + 7 * len(one), b + 7 * len(one)) for k, a, b in short] == long[-len(short) :]
+
+
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+
+
+def without_placeholders(candidate, rule=Entropy()):
+    """Windows that count and touch no placeholder, one by one."""
+    spans = []
+    held = [(m.start(), m.end()) for m in secrets._PLACEHOLDER.finditer(candidate)]
+    for i in range(len(candidate) - rule.width + 1):
+        if slow(candidate[i : i + rule.width], rule) and not any(a < i + rule.width and i < b for a, b in held):
+            spans = [*spans[:-1], (spans[-1][0], i + rule.width)] if spans and i <= spans[-1][1] and not any(b == i for _, b in held) else [*spans, (i, i + rule.width)]
+    return spans
+
+
+def test_placeholders_hide_their_windows_alone():
+    rng = random.Random(11)
+    for _ in range(150):
+        parts = ["".join(rng.choice(ALPHABET) for _ in range(rng.randrange(5, 60))) for _ in range(rng.randrange(1, 4))]
+        candidate = rng.choice(["xxxx", "Example", "your_", "lorem"]).join(parts)
+        assert secrets.secret_spans(candidate) == without_placeholders(candidate), candidate
+
+
+def test_no_loss_by_length():
+    rng = random.Random(5)
+    for n, runs in ((1_000, 200), (10_000, 30), (100_000, 4), (1_000_000, 1)):
+        for _ in range(runs):
+            run = "".join(rng.choices(ALPHABET, k=n))
+            covered = sum(b - a for k, a, b in secrets.scan(f"see {run} here") if k == "entropy")
+            assert covered > 0.9 * n, (n, covered)
+        at = n // 2
+        planted = run[:at] + "xxxx" + run[at:]
+        assert sum(b - a for k, a, b in secrets.scan(f"see {planted} here") if k == "entropy") > 0.9 * n - 50
+    long = "".join(rng.choices(ALPHABET, k=500))
+    assert any(k == "entropy" for k, _, _ in secrets.scan(f"sha512: {long}")) and not any(k == "entropy" for k, _, _ in secrets.scan(f"sha512: {long[:88]}"))
