@@ -1,4 +1,4 @@
-"""``python -m sessionlake``: list, config, export, review, merge, diff and yaml. Results are JSON on standard output;
+"""``python -m sessionlake``: list, config, export, review, confirm, status, merge, push, diff and yaml. Results are JSON on standard output;
 errors too, with exit code 1."""
 
 from __future__ import annotations
@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 
 from . import config
 from .functions.scalars import format_size
-from .operators import gates, rollup
+from .operators import gates
 from .plans import engine
 from .sinks import jsonl
 from .sinks.card import card
 from .sinks.yaml_text import write_yaml
-from .sources import files, sqlite
+from .sources import files
 
 
 def _stores(items: list[str]) -> dict[str, str]:
@@ -48,6 +48,14 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--accept", action="append", default=[])
     for name in ("asked-full-name", "asked-sensitive", "manual-scan"):
         c.add_argument(f"--attest-{name}", default="")
+    c = sub.add_parser("confirm")
+    c.add_argument("path")
+    c = sub.add_parser("status")
+    c.add_argument("--path")
+    c = sub.add_parser("push")
+    c.add_argument("repo")
+    c.add_argument("path")
+    c.add_argument("--approved", default="")
     c = sub.add_parser("merge")
     c.add_argument("remote")
     c.add_argument("local")
@@ -78,15 +86,9 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
         config.save(args.config, new)
         return config.masked(new)
     if args.command == "list":
-        out = []
-        for source, path in _stores(args.store).items():
-            if source in sqlite.READERS:
-                rows = rollup.project_catalog(sqlite.READERS[source](spark, path).select("source", "project", F.lit(0).cast("long").alias("bytes")))
-            else:
-                rows = files.catalog(spark, source, path)
-            rows = rows.select(F.col("project").alias("name"), F.col("session_count").alias("sessions"), format_size(F.col("total_size_bytes")).alias("size"), F.col("project").isin(*settings["excluded"]).alias("excluded"), "source")
-            out += [r.asDict() for r in rows.collect()]
-        return {"projects": out}
+        rows = files.catalogs(spark, _stores(args.store))
+        rows = rows.select(F.col("project").alias("name"), F.col("session_count").alias("sessions"), format_size(F.col("total_size_bytes")).alias("size"), F.col("project").isin(*settings["excluded"]).alias("excluded"), "source")
+        return {"projects": [r.asDict() for r in rows.collect()]}
     if args.command == "export":
         if not settings["projects_confirmed"] and not args.all_projects:
             raise ValueError("confirm the projects first: config --confirm-projects, or export with --all-projects")
@@ -99,7 +101,28 @@ def run(args: argparse.Namespace, spark: SparkSession) -> dict:
     if args.command == "review":
         found = engine.review(_with_lines(spark, args.path), args.full_name, args.prior_sessions, tuple(args.accept))
         errors = gates.attestation_errors(args.attest_asked_full_name, args.attest_asked_sensitive, args.attest_manual_scan, args.full_name, not args.full_name)
-        return {**vars(found), "attestation_errors": errors, "confirmed": not errors and not found.blocks}
+        reviewed = {"hash": engine.content_hash(spark, args.path), "sessions": found.sessions} if not errors and not found.blocks else None
+        if reviewed or settings.get("reviewed"):
+            config.save(args.config, {**settings, "reviewed": reviewed, "confirmed": None})
+        return {**vars(found), "attestation_errors": errors, "passed": bool(reviewed), "confirmed": bool(reviewed)}
+    if args.command == "confirm":
+        if not settings.get("reviewed") or settings["reviewed"]["hash"] != engine.content_hash(spark, args.path):
+            raise ValueError("the data is not what a review passed: review it first")
+        config.save(args.config, {**settings, "confirmed": settings["reviewed"]})
+        return {"confirmed": settings["reviewed"]}
+    if args.command == "status":
+        kept = settings["confirmed"]
+        same = bool(kept) and args.path is not None and kept["hash"] == engine.content_hash(spark, args.path)
+        state = {**settings, "user": settings["username"], "confirmed": kept if args.path is None or same else None}
+        return {"stage": gates.stage(state), "confirmed": kept, "unchanged": same if args.path is not None else None}
+    if args.command == "push":
+        if problem := gates.publish_error(args.approved):
+            raise ValueError(f"--approved {problem}")
+        if not settings["confirmed"] or settings["confirmed"]["hash"] != engine.content_hash(spark, args.path):
+            raise ValueError("the data changed since it was confirmed, or never was")
+        told = engine.push(spark, args.repo, args.path)
+        config.save(args.config, {**settings, "published": told["version"]})
+        return told
     if args.command == "merge":
         return engine.publish(spark, args.remote, args.local, args.target)
     if args.command == "diff":

@@ -38,3 +38,15 @@ def masked(settings: dict) -> dict:
     """The settings as they may be shown: redacted strings by their ends alone."""
     hide = lambda s: "***" if len(s) <= 8 else f"{s[:4]}...{s[-4:]}"
     return {**settings, "redact": [hide(s) for s in settings["redact"]]}
+
+
+#: Hours between two runs that nobody started.
+LEAST_HOURS, MOST_HOURS, USUAL_HOURS = 1.0, 720.0, 24.0
+
+
+def interval(settings: dict) -> str:
+    """The trigger of a stream that keeps a dataset up to date: the setting ``sync_hours``, between an hour and thirty
+    days; a day where it is no number."""
+    hours = settings.get("sync_hours")
+    hours = hours if isinstance(hours, (int, float)) and not isinstance(hours, bool) and hours == hours else USUAL_HOURS
+    return f"{round(min(max(hours, LEAST_HOURS), MOST_HOURS) * 3600)} seconds"

@@ -131,6 +131,25 @@ def clean_text(text: Column) -> Column:
     return F.regexp_replace(F.replace(plain, F.lit("\t"), F.lit("    ")), r"(?m)[ \x0b\f\r]+$", "")
 
 
+def escaped_emojis(text: Column) -> Column:
+    """Characters beyond U+FFFF, which some YAML writers can't print, as ``__EMOJI_<hex>__``; texts without any as they
+    are."""
+    mark = lambda c: F.when(c.rlike(r"^[\x{10000}-\x{10FFFF}]$"), F.concat(F.lit("__EMOJI_"), F.lower(F.hex(F.ascii(c))), F.lit("__"))).otherwise(c)
+    return F.when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), F.array_join(F.transform(F.split(text, ""), mark), "")).otherwise(text)
+
+
+def restored_emojis(text: Column) -> Column:
+    """The inverse of :func:`escaped_emojis`, also for marks of letters in either case."""
+    pieces = F.split(text, "(?=__EMOJI_[0-9a-fA-F]{5,6}__)")
+    code = lambda p: F.conv(F.regexp_extract(p, "^__EMOJI_([0-9a-fA-F]{5,6})__", 1), 16, 10).cast("int")
+    # UTF-8 of a character beyond U+FFFF, byte by byte.
+    byte = lambda v: F.lpad(F.hex(v), 2, "0")
+    six = lambda p, n: F.call_function("shiftright", code(p), F.lit(n)).bitwiseAND(63).bitwiseOR(128)
+    char = lambda p: F.decode(F.unhex(F.concat(byte(F.call_function("shiftright", code(p), F.lit(18)).bitwiseOR(240)), byte(six(p, 12)), byte(six(p, 6)), byte(six(p, 0)))), "UTF-8")
+    back = lambda p: F.when(p.rlike("^__EMOJI_[0-9a-fA-F]{5,6}__"), F.concat(char(p), F.regexp_replace(p, "^__EMOJI_[0-9a-fA-F]{5,6}__", ""))).otherwise(p)
+    return F.when(text.contains("__EMOJI_"), F.array_join(F.transform(pieces, back), "")).otherwise(text)
+
+
 def shannon_entropy(text: Column) -> Column:
     """Bits per character, of the characters' frequencies."""
     n = F.length(text).cast("double")

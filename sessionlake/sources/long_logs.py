@@ -18,7 +18,7 @@ from dataclasses import asdict, dataclass, field
 from typing import Any, NamedTuple
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,6 +27,7 @@ from ..schema import DEFAULT_MODELS, STATS, TOOL_USE
 from ..scratch import written
 from . import formats
 from .files import _clean, _folder, _stem, claude_project, entries, prefixed
+from .metrics import counted
 from .transcript import Event, Meta, Result, Said, Tokens
 
 
@@ -236,15 +237,18 @@ class Long(NamedTuple):
 _SESSION = f"session_id string, model string, git_branch string, start_time string, end_time string, project string, source string, stats {STATS}"
 
 
-def read(spark: SparkSession, source: str, path: str, thinking: bool = True, pattern: str | None = None) -> Long:
+def read(spark: SparkSession, source: str, path: str, thinking: bool = True, pattern: str | None = None, counts: Observation | None = None) -> Long:
     """The sessions of claude, codex or openclaw logs below a folder, of any size, as facts and messages. The same as
     :func:`files.read` gives, root logs only; a log without messages has no rows. ``pattern``: of file names, where they
-    are not the format's. Splits are as large as ``spark.sql.files.maxPartitionBytes`` says."""
+    are not the format's. ``counts``: tells afterwards how many lines were read, and how many of them were blank or
+    malformed. Splits are as large as ``spark.sql.files.maxPartitionBytes`` says."""
     rule = RULES[source]
     lines = spark.read.option("pathGlobFilter", pattern or rule.pattern).option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value")
     if source == "claude":
         rows = rows.where(~F.col("path").contains("/subagents/"))
+    if counts is not None:
+        rows = counted(rows, counts)
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now: Walk | None = None

@@ -7,6 +7,7 @@ too as text with their type kept by a cast in the query.
 from __future__ import annotations
 
 import json
+import os
 import sqlite3
 from collections.abc import Iterator
 
@@ -31,6 +32,23 @@ def connect(path: str) -> sqlite3.Connection:
         return sqlite3.connect(f"file:{path}?immutable=1", uri=True)
 
 
+#: What this worker has open: by path, the store's size and time when it was opened, and the connection.
+_OPEN: dict[str, tuple[tuple[int, int], sqlite3.Connection]] = {}
+
+
+def snapshot(path: str) -> sqlite3.Connection:
+    """The worker's connection to a store: one for all ranges that it reads, opened anew when the store has changed."""
+    about = os.stat(path)
+    seen = about.st_size, about.st_mtime_ns
+    known = _OPEN.get(path)
+    if known and known[0] == seen:
+        return known[1]
+    if known:
+        known[1].close()
+    _OPEN[path] = seen, connect(path)
+    return _OPEN[path][1]
+
+
 class Range(InputPartition):
     def __init__(self, low: int, high: int) -> None:
         self.low, self.high = low, high
@@ -49,7 +67,7 @@ class SqliteReader(DataSourceReader):
         return [Range(i, min(i + self.rows - 1, high)) for i in range(low, high + 1, self.rows)]
 
     def read(self, part: Range) -> Iterator[tuple]:
-        with connect(self.path) as c:
+        with snapshot(self.path) as c:
             there = {r[1] for r in c.execute(f'pragma table_info("{self.table}")')}
             named = ", ".join(f'"{k}"' if k in there else "null" for k in self.columns)
             text = lambda v: v.decode("utf-8", "surrogateescape").encode("utf-8", "replace").decode() if isinstance(v, bytes) else v if v is None or isinstance(v, str) else json.dumps(v)

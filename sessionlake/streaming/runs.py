@@ -91,8 +91,9 @@ class Runs:
             merged += len(old)
 
 
-def upsert_stream(stream: DataFrame, runs: Runs, checkpoint: str, once: bool = True, compact: bool = True) -> StreamingQuery:
-    """Keep ``runs`` up to date from a stream of sessions. A batch repeated after a failure counts once."""
+def upsert_stream(stream: DataFrame, runs: Runs, checkpoint: str, once: bool = True, compact: bool = True, every: str = "24 hours") -> StreamingQuery:
+    """Keep ``runs`` up to date from a stream of sessions, once or ``every`` so often (:func:`sessionlake.config.interval`).
+    A batch repeated after a failure counts once."""
 
     def add(batch: DataFrame, number: int) -> None:
         runs.upsert(batch, number, checkpoint)
@@ -100,4 +101,4 @@ def upsert_stream(stream: DataFrame, runs: Runs, checkpoint: str, once: bool = T
             runs.compact()
 
     writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(add)
-    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()
+    return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -39,6 +39,37 @@ def test_from_logs_to_a_diff(spark, tmp_path, capsys):
     assert code == 1
 
 
+def test_from_a_review_to_a_push(spark, tmp_path, capsys):
+    data, settings = tmp_path / "v1", tmp_path / "c.json"
+    data.mkdir()
+    (data / "a.jsonl").write_text("\n".join(json.dumps({"session_id": str(n), "source": "custom", "project": "p", "model": "m", "messages": [{"role": "user", "content": f"text {n}"}]}) for n in range(25)))
+    run = lambda *args: call(capsys, "--config", settings, *args)
+    run("config", "--username", "ann", "--source", "custom", "--confirm-projects")
+    assert run("status")[1]["stage"] == "review" and run("confirm", data)[0] == 1
+    said = ("--attest-asked-full-name", "I asked for the full name and scanned for Ann Lee", "--attest-asked-sensitive", "I asked about company names and none had to be redacted", "--attest-manual-scan", "I did a manual scan of 20 sessions of all kinds")
+    code, out = run("review", data, "--full-name", "Ann Lee", *said)
+    assert code == 0 and out["passed"], out
+    assert run("confirm", data)[1]["confirmed"]["sessions"] == 25
+    assert run("status", "--path", data)[1] | {"confirmed": 0} == {"stage": "confirmed", "confirmed": 0, "unchanged": True}
+    approved = ("--approved", "the user approved to publish this dataset")
+    assert run("push", tmp_path / "repo", data)[0] == 1
+    # Other files and another order are the same data; another byte is not.
+    lines = (data / "a.jsonl").read_text().split("\n")
+    (data / "a.jsonl").write_text("\n".join(lines[::-1][:12]))
+    (data / "b.jsonl").write_text("\n".join(lines[::-1][12:]))
+    code, out = run("push", tmp_path / "repo", data, *approved)
+    assert (code, out["version"], out["added"]) == (0, 1, 25)
+    assert run("status", "--path", data)[1]["stage"] == "done"
+    (data / "b.jsonl").write_text("\n".join(lines[::-1][12:]).replace("text 1", "text one"))
+    assert run("status", "--path", data)[1] | {"confirmed": 0} == {"stage": "review", "confirmed": 0, "unchanged": False}
+    assert run("push", tmp_path / "repo", data, *approved)[0] == 1 and run("confirm", data)[0] == 1
+
+
+def test_hours_between_runs():
+    every = lambda hours: config.interval({"sync_hours": hours})
+    assert [every(h) for h in (None, "x", True, 0.2, 6, 1e9)] == ["86400 seconds", "86400 seconds", "86400 seconds", "3600 seconds", "21600 seconds", "2592000 seconds"]
+
+
 def test_damaged_settings_give_defaults(tmp_path):
     (tmp_path / "c").write_text("{")
     assert config.load(str(tmp_path / "c")) == config.DEFAULTS == config.load(str(tmp_path / "none"))
