@@ -189,7 +189,9 @@ def erased(spark: SparkSession, tables: dict[str, DataFrame], root: str, files:
     owners = tables["sales"].where("sale_id is not null").groupBy(F.col("sale_id").alias("_sale")).agg(F.min("client_id").cast("string").alias("_owner"))
     at = {t: (lambda name, names=rows.columns: f"c{names.index(name)}") for t, rows in tables.items()}
     owned = {t: by_place(tables[t]).withColumn("_owner", F.col(at[t]("client_id")).cast("string")) for t in ("clients", "clicks", "sales")}
-    # Lines of a hot sale share a key: adaptive execution splits their partition, the sale being one row.
+    # Lines of a hot sale share a key: adaptive execution splits their partition, the sale being one row. It can only do
+    # so where the join reads both shuffles as they are, so the owners are aggregated before.
+    owners, owners_path = stored(owners, "erasure-owners")
     owned["sale_lines"] = by_place(tables["sale_lines"]).join(owners, F.col(at["sale_lines"]("sale_id")) == F.col("_sale"), "left").drop("_sale")
     layouts = {t: lay_out(owned[t], tables[t].schema, f"{root}/{t}", files) for t in CASCADE}
     clients = tables["clients"]
@@ -223,7 +225,7 @@ def erased(spark: SparkSession, tables: dict[str, DataFrame], root: str, files:
         )
         out = one if out is None else out.unionByName(one)
     done, _ = stored(out, "erasure-files")
-    for path in (masters_path, people_path, sales_path):
+    for path in (owners_path, masters_path, people_path, sales_path):
         release(spark, path)
     return done
 
