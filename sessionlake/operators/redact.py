@@ -202,8 +202,7 @@ def model_spans(text: str, scorer: Scorer, tokens: int = 480, least: float = 0.8
 
 
 def redact_column(rows: DataFrame, text: str, custom: tuple[str, ...] = ()) -> DataFrame:
-    """``rows`` with the text redacted, and a column ``redactions``. Texts that no pattern can match skip Python's
-    work on them."""
+    """``rows`` with the text redacted, and a column ``redactions``. Every text goes through Python, in Arrow batches."""
 
     @F.pandas_udf("text string, n long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:

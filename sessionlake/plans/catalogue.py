@@ -151,8 +151,21 @@ def _texts(spark, sf_dir):
 _NOISE = " and ".join(f"not contains(match, '{x}')" for x in scans.EMAIL_NOISE)
 
 
-def _matches_sql(kind: str, group: int = 0, where: str = "true") -> str:
-    return f"select doc_id, match from (select doc_id, unnest(regexp_extract_all(text, '{scans.PII_PATTERNS[kind]}', {group})) as match from documents) where {where}"
+def _matches_sql(kind: str, group: int = 0, where: str = "true", source: str = "documents") -> str:
+    return f"select doc_id, match from (select doc_id, unnest(regexp_extract_all(text, '{scans.PII_PATTERNS[kind]}', {group})) as match from {source}) where {where}"
+
+
+#: Documents with keys made from their ids at the end, since the tables hold none: every second has a token, every third
+#: a key with one of the prefixes, every fifth the one that is no key.
+_KEYED_SQL = """(select doc_id, concat(coalesce(text, ''), case when doc_id % 2 = 0 then concat(' eyJ', md5(cast(doc_id as varchar))) else '' end,
+case when doc_id % 3 = 0 then concat(' ', list_extract(['ghp_', 'sk-', 'hf_'], cast(doc_id % 7 % 3 + 1 as int)), substr(md5(cast(doc_id as varchar)), 1, 16)) else '' end, case when doc_id % 5 = 0 then ' sk-notification' else '' end) as text from documents)"""
+
+
+def _keyed(spark, sf_dir):
+    code, when = F.md5(F.col("doc_id").cast("string")), lambda n, c: F.when(F.col("doc_id") % n == 0, c).otherwise("")
+    prefix = F.element_at(F.array(*[F.lit(p) for p in ("ghp_", "sk-", "hf_")]), (F.col("doc_id") % 7 % 3 + 1).cast("int"))
+    keys = when(2, F.concat(F.lit(" eyJ"), code)), when(3, F.concat(F.lit(" "), prefix, F.substring(code, 1, 16))), when(5, F.lit(" sk-notification"))
+    return _texts(spark, sf_dir).withColumn("text", F.concat(F.coalesce("text", F.lit("")), *keys))
 
 
 @query(_matches_sql("emails", 0, _NOISE))
@@ -165,19 +178,19 @@ def pii_ips(spark, sf_dir):
     return scans.matches(_texts(spark, sf_dir), "text", "ip_addresses")
 
 
-@query(_matches_sql("jwt_tokens"))
+@query(_matches_sql("jwt_tokens", source=_KEYED_SQL))
 def pii_jwt(spark, sf_dir):
-    return scans.matches(_texts(spark, sf_dir), "text", "jwt_tokens")
+    return scans.matches(_keyed(spark, sf_dir), "text", "jwt_tokens")
 
 
-@query(_matches_sql("api_keys", 1))
+@query(_matches_sql("api_keys", 1, source=_KEYED_SQL))
 def pii_api_keys_prefix(spark, sf_dir):
-    return scans.matches(_texts(spark, sf_dir), "text", "api_keys", whole=False)
+    return scans.matches(_keyed(spark, sf_dir), "text", "api_keys", whole=False)
 
 
-@query(_matches_sql("api_keys", 0, "match <> 'sk-notification'"))
+@query(_matches_sql("api_keys", 0, "match <> 'sk-notification'", _KEYED_SQL))
 def pii_api_keys_full(spark, sf_dir):
-    return scans.matches(_texts(spark, sf_dir), "text", "api_keys")
+    return scans.matches(_keyed(spark, sf_dir), "text", "api_keys")
 
 
 #: Fixed value: matches that are no finding, by kind.
@@ -186,11 +199,11 @@ _KEPT_MATCHES = {"emails": _NOISE, "api_keys": "match <> 'sk-notification'"}
 
 @query(
     "select kind, string_agg(match, '|' order by match) as matches from (select kind, match, row_number() over (partition by kind order by match) as r from (select distinct kind, match from ("
-    + " union all ".join(f"select '{k}' as kind, match from ({_matches_sql(k, 0, _KEPT_MATCHES.get(k, 'true'))})" for k in scans.PII_PATTERNS)
+    + " union all ".join(f"select '{k}' as kind, match from ({_matches_sql(k, 0, _KEPT_MATCHES.get(k, 'true'), _KEYED_SQL)})" for k in scans.PII_PATTERNS)
     + "))) where r <= 20 group by kind"
 )
 def pii_summary_top20(spark, sf_dir):
-    return scans.pii_summary(_texts(spark, sf_dir), "text").select("kind", F.array_join("matches", "|").alias("matches"))
+    return scans.pii_summary(_keyed(spark, sf_dir), "text").select("kind", F.array_join("matches", "|").alias("matches"))
 
 
 _ENTROPY = "list_sum(list_transform(list_distinct(string_split(token, '')), lambda c: -((length(token) - length(replace(token, c, ''))) / length(token)) * log2((length(token) - length(replace(token, c, ''))) / length(token))))"
