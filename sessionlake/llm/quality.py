@@ -171,7 +171,7 @@ def fit(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
     fixed number whatever the tables' size; without any, every score is a half."""
     known = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg("quality").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rule.most)
-    texts = text_rows(docs).join(chosen, "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
+    texts = text_rows(docs).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.max("text").alias("text"))
     rows = described(texts).join(chosen, "doc_id").orderBy("doc_id").select("statistics", "label").toArrow()
     x = np.array(rows.column(0).combine_chunks().flatten(), dtype=np.float32).reshape(-1, len(NAMES))
     return grow(x, np.array(rows.column(1), dtype=np.float64), rule)
