@@ -301,8 +301,17 @@ def digests(found: DataFrame) -> DataFrame:
     )
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """A column name that ``docs`` does not have."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
-    """``docs`` without the documents in which a window of a benchmark item stands. Rows that repeat a doc_id stand or
-    fall together; rows without doc_id can't be told apart and all stay."""
-    bad = contamination(docs, items, window).where(F.size("spans") > 0).select("doc_id").where("doc_id is not null").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(plain(docs))
+    """``docs`` without the rows in whose text a window of a benchmark item stands. A row is judged by its text alone (by
+    64 bits of its hash), so rows that repeat a doc_id or have none are rows like any other."""
+    key = F.xxhash64(F.col("text").cast("string"))
+    bad = contamination(docs.select(key.alias("doc_id"), "text"), items, window).where(F.size("spans") > 0).select(F.col("doc_id").alias(_free("_text_key", docs))).distinct()
+    return docs.join(bad, key == bad[bad.columns[0]], "left_anti").select(plain(docs))

@@ -294,17 +294,22 @@ def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
 def near_duplicates_removed(docs: DataFrame, shape: Shape = NEAR) -> DataFrame:
     """``docs`` without all but one document of each component: the one with the least doc_id. A link is a Jaccard
     similarity of 0.8 or more of the shingle sets, decided exactly; of ``shape``, words and chunk count. Rows that repeat
-    a doc_id count once. Rows without doc_id can't be told apart and all stay."""
-    named = docs.where("doc_id is not null")
-    columns = plain(docs)
-    keep = kept_ids(named, shape.words, shape.chunk)
-    kept = named.join(keep, "doc_id", "left_semi").select(columns)
-    repeated = named.groupBy("doc_id").count().where("count > 1")
-    if not repeated.isEmpty():
-        twice, _ = stored(repeated.select("doc_id"), "simhash-repeated")
-        once = kept.join(twice, "doc_id", "left_anti").select(columns)
-        again = kept.join(twice, "doc_id", "left_semi").select("doc_id", F.struct(columns).alias("row"))
-        # The one whose hash over text and all columns is least: the same in any run.
-        seen = again.groupBy("doc_id").agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64(F.to_json("row")))).alias("row"))
-        kept = once.union(seen.select([F.col("row")[c].alias(c) for c in docs.columns]))
-    return kept.union(docs.where("doc_id is null"))
+    a doc_id count once. A row without doc_id is known by its text, and goes before one that has an id: of such rows with
+    equal texts one stays, and none where a row with an id is a near duplicate."""
+    columns, name = plain(docs), "_row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    # Above all ids of tables that number their rows; a clash of a hash with an id has a chance of rows / 2 ** 62.
+    by_text = F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
+    named = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), by_text).alias(name))
+    keep = kept_ids(named.select(F.col(name).alias("doc_id"), "text"), shape.words, shape.chunk).toDF(name)
+    kept = named.join(keep, name, "left_semi")
+    repeated = named.groupBy(name).count().where("count > 1")
+    if repeated.isEmpty():
+        return kept.select(columns)
+    twice, _ = stored(repeated.select(name), "simhash-repeated")
+    once = kept.join(twice, name, "left_anti").select(columns)
+    again = kept.join(twice, name, "left_semi").select(name, F.struct(columns).alias("row"))
+    # The one whose hash over text and all columns is least: the same in any run.
+    seen = again.groupBy(name).agg(F.min_by("row", F.struct(F.xxhash64("row.text"), F.xxhash64(F.to_json("row")))).alias("row"))
+    return once.union(seen.select([F.col("row")[c].alias(c) for c in docs.columns]))

@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 
 import corpus_pipeline
+from sessionlake.llm import positional, simhash
 from sessionlake.llm.common import stored
 from sessionlake.llm.queries import QUERIES, tokenizer_path
 
@@ -36,3 +37,18 @@ def test_awkward_rows(spark, sf_dir, awkward, nothing):
     for docs in (awkward, nothing):
         for _, stage in corpus_pipeline.STAGES:
             docs, _ = stored(stage(spark, docs, sf_dir), "test-awkward")
+
+
+def test_rows_without_and_with_repeated_ids(spark):
+    """Stages act on rows: of five rows the two that hold a benchmark window go, and copies go whether they have ids or
+    not."""
+    bad, copy = " ".join(f"word{n}" for n in range(30)), " ".join(f"other{n}" for n in range(40))
+    rows = [(None, bad), (1, bad), (1, "a clean row that repeats an id"), (None, copy), (None, copy), (7, copy), (None, "alone without an id, and short"), (None, None)]
+    docs = spark.createDataFrame([(i, t, None, None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    items = spark.createDataFrame([("b", " ".join(f"word{n}" for n in range(5, 17)))], "item_id string, text string")
+    clean = positional.decontaminated(docs, items)
+    assert clean.columns == docs.columns
+    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in clean.collect()])) == sorted(map(repr, rows[2:]))
+    left = simhash.near_duplicates_removed(docs.where("text is null or text <> '" + bad + "'"), simhash.NEAR)
+    assert left.columns == docs.columns
+    assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in left.collect()])) == sorted(map(repr, [rows[2], (7, copy), rows[6], rows[7]]))
