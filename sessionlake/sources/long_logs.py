@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, field
+from itertools import groupby
 from typing import Any, NamedTuple
 
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.json_values import canonical
+from ..functions.scalars import project_of_encoded_dir
 from ..schema import DEFAULT_MODELS, STATS, TOOL_USE
 from ..scratch import written
 from . import formats
@@ -278,13 +280,16 @@ def read(spark: SparkSession, source: str, path: str, thinking: bool = True, pat
 
 def _answered(events: DataFrame) -> DataFrame:
     """Messages, tools with the last result of their call in the file, wherever it lies."""
-    messages = events.where("kind = 'message'")
     last = F.max_by(F.struct("output", "status"), F.struct("block", "k"))
     results = events.where("kind = 'result'").groupBy("path", "call_id").agg(last.alias("result"))
-    at = ["path", "block", "k"]
+    return _with_results(events.where("kind = 'message'"), results, ["path", "block", "k"], "path")
+
+
+def _with_results(messages: DataFrame, results: DataFrame, at: list[str], session: str) -> DataFrame:
+    """Messages (known by ``at``) with tool_uses: their tools, and the result of each call in its session."""
     # Only the calls go through the join, not the messages' texts.
     calls = messages.where("tools is not null").select(*at, F.posexplode("tools").alias("pos", "t")).select(*at, "pos", "t", F.col("t.call_id").alias("call_id"))
-    met = calls.join(results, ["path", "call_id"], "left")
+    met = calls.join(results, [session, "call_id"], "left")
     pick = lambda c: F.when(F.col("result").isNotNull(), F.col(f"result.{c}")).otherwise(F.col(f"t.{c}")).alias(c)
     tool = F.struct("t.tool", "t.id", "t.input", pick("output"), pick("status"))
     uses = met.groupBy(*at).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", tool.alias("tool")))), lambda x: x["tool"]).cast(f"array<{TOOL_USE}>").alias("tool_uses"))
@@ -298,3 +303,89 @@ def _numbered(messages: DataFrame) -> DataFrame:
     bases = counts.select("path", "block", F.coalesce(before, F.lit(0)).alias("base"))
     within = F.row_number().over(Window.partitionBy("path", "block").orderBy("k")) - 1
     return messages.withColumn("within", within).join(bases, ["path", "block"]).select("path", (F.col("base") + F.col("within")).alias("n"), "role", "content", "thinking", "content_parts", "tool_uses", "timestamp")
+
+
+# Agents of a session: several logs, merged by time.
+
+_AGENT = f"{_EVENTS}, stamp string"
+_AGENT_ARROW = _ARROW.append(pa.field("stamp", pa.string()))
+_FACTS = {"session_id": "last", "git_branch": "last", "model": "first", "start": "first", "end": "last"}
+
+
+def agent_rows(path: str, block: int, texts: Iterator[str], thinking: bool) -> Iterator[dict]:
+    """A byte split of an agent's log: messages and results, each with the largest time of the split so far, and rows of
+    kind ``fact`` (role: its name, content: its value), ``sum`` (span) and ``span`` (the split's largest time)."""
+    at, latest, k, total = {"path": path, "block": block}, "", 0, Span()
+    first: dict[str, dict] = {}
+    last: dict[str, dict] = {}
+    for text in texts:
+        for e in entries(text):
+            stamp = e.get("timestamp")
+            latest = max(latest, stamp if isinstance(stamp, str) else "")
+            seen = Span()
+            for row in folded([e], RULES["claude"], thinking, seen, None):
+                yield {**at, "k": k, "stamp": latest, **row}
+                k += 1
+            found = {key: values[3] for key, values in seen.facts.items()} | {"start": seen.times[0], "end": seen.times[1]}
+            for key, value in found.items():
+                if key in _FACTS and value is not None:
+                    fact = {**at, "k": k, "stamp": latest, "kind": "fact", "role": key, "content": _clean(value) if isinstance(value, str) else json.dumps(value)}
+                    first.setdefault(key, fact)
+                    last[key] = fact
+            k += 1
+            total = total.then(Span(added=seen.added, most=seen.most, counts=seen.counts))
+    yield from (first[key] if which == "first" else last[key] for key, which in _FACTS.items() if key in first)
+    yield {**at, "k": k, "kind": "sum", "stamp": latest, "span": json.dumps([*total.counts, total.added[0] + total.most[0], total.added[1] + total.most[1]])}
+
+
+def read_agents(spark: SparkSession, path: str, thinking: bool = True) -> Long:
+    """The sessions of the agents below claude sessions, of any size: for each session's folder the logs of its agents,
+    merged by the largest time of their log so far, then by file, as a heap of the logs would give them. ``path`` is the
+    session's folder. Within a split the largest time so far is a running one; that of the splits before is a window
+    over one row a split. A session's messages pass through one sort, which spills."""
+    lines = spark.read.option("pathGlobFilter", "agent-*.jsonl").option("recursiveFileLookup", "true").option("lineSep", "\n").text(path)
+    rows = lines.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), "value").where(F.col("path").contains("/subagents/"))
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts = ((p, b, t) for batch in batches for p, b, t in zip(*(c.to_pylist() for c in batch.columns)))
+        for (p, b), split in groupby(texts, key=lambda x: x[:2]):
+            out: list[dict] = []
+            for row in agent_rows(p, b, (t for _, _, t in split), thinking):
+                out.append(row)
+                if len(out) == 4096:
+                    yield pa.RecordBatch.from_pylist(out, _AGENT_ARROW)
+                    out = []
+            yield pa.RecordBatch.from_pylist(out, _AGENT_ARROW)
+
+    found = written(rows.mapInArrow(walk, _AGENT), "agent-logs")
+    splits = found.where("kind = 'sum'").select("path", "block", "stamp")
+    before = F.max("stamp").over(Window.partitionBy("path").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    reached = splits.select("path", "block", F.coalesce(before, F.lit("")).alias("before"))
+    timed = found.join(reached, ["path", "block"]).withColumn("at", F.struct(F.greatest("stamp", "before").alias("latest"), "path", "block", "k")).withColumn("owner", F.regexp_extract("path", r"^(.*)/subagents/[^/]*$", 1))
+    messages = timed.where("kind = 'message'")
+    results = timed.where("kind = 'result'").groupBy("owner", "call_id").agg(F.max_by(F.struct("output", "status"), "at").alias("result"))
+    with_uses = _with_results(messages, results, ["owner", "path", "block", "k"], "owner")
+    n = F.row_number().over(Window.partitionBy("owner").orderBy("at")) - 1
+    numbered = with_uses.select(F.col("owner").alias("path"), n.cast("long").alias("n"), "role", "content", "thinking", "content_parts", "tool_uses", "timestamp")
+
+    sums = timed.where("kind = 'sum'").select("owner", F.from_json("span", "array<long>").alias("s"))
+    stats = sums.groupBy("owner").agg(*[F.sum(F.col("s")[i]).alias(c) for i, c in enumerate(("user_messages", "assistant_messages", "tool_uses", "input_tokens", "output_tokens"))])
+    facts = timed.where("kind = 'fact'")
+    pick = lambda key: (F.min_by if _FACTS[key] == "first" else F.max_by)(F.when(F.col("role") == key, F.col("content")), F.when(F.col("role") == key, F.col("at"))).alias(f"f_{key}")
+    known = facts.groupBy("owner").agg(*[pick(k) for k in _FACTS])
+    roots = spark.read.format("binaryFile").option("pathGlobFilter", "*.jsonl").option("recursiveFileLookup", "true").load(path).select("path").where(~F.col("path").contains("/subagents/"))
+    owners = roots.select(F.regexp_replace("path", r"\.jsonl$", "").alias("owner")).distinct().withColumn("has_root", F.lit(True))
+    joined = stats.where("user_messages + assistant_messages > 0").join(known, "owner", "left").join(owners, "owner", "left")
+    own_id = F.coalesce("f_session_id", F.element_at(F.split("owner", "/"), -1))
+    sessions = joined.select(
+        F.col("owner").alias("path"),
+        F.when(F.col("has_root"), F.concat(own_id, F.lit(":subagents"))).otherwise(own_id).alias("session_id"),
+        F.col("f_model").alias("model"),
+        F.col("f_git_branch").alias("git_branch"),
+        F.col("f_start").alias("start_time"),
+        F.col("f_end").alias("end_time"),
+        project_of_encoded_dir(F.element_at(F.split("owner", "/"), -2)).alias("project"),
+        F.lit("claude").alias("source"),
+        F.struct("user_messages", "assistant_messages", "tool_uses", "input_tokens", "output_tokens").alias("stats"),
+    )
+    return Long(sessions, numbered)

@@ -115,3 +115,41 @@ def test_as_the_fold_over_whole_files(spark, tmp_path, source, size):
     expected = [r.asDict(recursive=True) for r in files.read(spark, source, str(tmp_path)).drop("redaction_policy").collect()]
     key = lambda r: json.dumps(r, sort_keys=True)
     assert len(expected) >= 3 and sorted(found.values(), key=key) == sorted(expected, key=key)
+
+
+@pytest.mark.parametrize("size", [300, 1 << 27])
+def test_agents_as_the_merge_of_whole_files(spark, tmp_path, size):
+    rng = random.Random(9)
+    for owner, sizes, root in (("s1", [30, 45, 3], True), ("s2", [25], False), ("s3", [0, 1], False)):
+        for f, n in enumerate(sizes):
+            path = tmp_path / "-home-ann-app" / owner / "subagents" / f"agent-{f}.jsonl"
+            path.parent.mkdir(parents=True, exist_ok=True)
+            lines = []
+            for i, e in enumerate(claude(rng, n)):
+                # Times go back and forth, repeat between files, and some are none.
+                e["timestamp"] = rng.choice([f"T{rng.randrange(40):02d}", f"T{i:02d}", 17])
+                if i % 9 == 4:
+                    e |= {"cwd": "/w", "gitBranch": f"b{f}-{i}", "sessionId": rng.choice([owner, f"{owner}-x"])}
+                lines.append(json.dumps(e, ensure_ascii=False))
+            path.write_text("\n".join(["", *lines, "broken"]))
+        if root:
+            (tmp_path / "-home-ann-app" / f"{owner}.jsonl").write_text(json.dumps({"type": "user", "timestamp": "T", "message": {"content": "root"}}))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    try:
+        sessions, messages = long_logs.read_agents(spark, str(tmp_path))
+        own = {}
+        for r in sorted(messages.collect(), key=lambda r: (r["path"], r["n"])):
+            own.setdefault(r["path"], []).append(r.asDict(recursive=True))
+        found = []
+        for r in sessions.collect():
+            of = r.asDict(recursive=True)
+            mine = own.pop(of.pop("path"))
+            assert [m["n"] for m in mine] == list(range(len(mine)))
+            found.append(of | {"messages": [{k: v for k, v in m.items() if k not in ("path", "n")} for m in mine]})
+        assert not own
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    key = lambda r: json.dumps(r, sort_keys=True)
+    whole = [r.asDict(recursive=True) for r in files._subagents(spark, str(tmp_path), True).drop("redaction_policy").collect()]
+    assert len(whole) == 3 and sorted(found, key=key) == sorted(whole, key=key)
