@@ -3,7 +3,7 @@
 Documents are linked where they belong together (for the query: equal texts). Rows start spread evenly, counts at most
 one apart. In each round a row asks for the shard that holds most of its linked neighbours. Requests from shard i to
 shard j are granted up to quotas that keep every shard's count: direct swaps first, then room made by unlinked rows,
-which cost no cut edge wherever they are. Rounds end when a round grants nothing. Groups are hubs: the neighbours of a
+which cost no cut edge wherever they are. Rounds end when a round grants nothing or cuts no fewer links. Groups are hubs: the neighbours of a
 row are counted once a group and shard, by partial aggregation, so a group with a third of all rows costs no task more.
 """
 
@@ -71,7 +71,7 @@ def quotas(asked: np.ndarray, free: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return granted, back
 
 
-def shards(rows: DataFrame, n: int = 8, key: str = "id", hub: str = "hub", rounds: int = 8) -> tuple[DataFrame, list[dict]]:
+def shards(rows: DataFrame, n: int = 8, key: str = "id", hub: str = "hub") -> tuple[DataFrame, list[dict]]:
     """``rows`` (columns ``key``, distinct, and ``hub``, null for unlinked rows) with column shard, counts at most one
     apart, and for each round the cut links and the moves. Cut links: rows away from their group's largest shard."""
     total = rows.count()
@@ -79,7 +79,7 @@ def shards(rows: DataFrame, n: int = 8, key: str = "id", hub: str = "hub", round
     now, path = stored(start, "shards")
     log: list[dict] = []
     linked = F.col(hub).isNotNull()
-    for _ in range(rounds):
+    while True:
         held = now.where(linked).groupBy(hub, "shard").agg(F.count("*").alias("held"))
         # The largest shard of a group; a hash of both at a tie, so that groups spread evenly. The group's rows elsewhere
         # would like to be there.
@@ -107,7 +107,8 @@ def shards(rows: DataFrame, n: int = 8, key: str = "id", hub: str = "hub", round
                 asked[r["shard"], r["to"]] += r["count"]
         granted, back = quotas(asked, free)
         log.append({"cut": int(asked.sum()), "moved": int(granted.sum())})
-        if not granted.sum():
+        # Cut links fall from round to round, so there is an end: when nothing is granted, or when they did not fall.
+        if not granted.sum() or len(log) > 1 and log[-1]["cut"] >= log[-2]["cut"]:
             release(rows.sparkSession, marked_path)
             break
         # The strongest pull first; among equals by number.
