@@ -280,15 +280,17 @@ def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     """
     cols = [f"w{k}" for k in range(shape.bits // 64)]
     prints, _ = stored(fingerprints(docs, shape), "simhash-prints")
-    points, points_path = stored(prints.groupBy(*cols).agg(F.min("doc_id").alias("least")), "simhash-points")
+    points, points_path = stored(prints.groupBy(*cols).agg(F.min("doc_id").alias("least"), F.count("*").alias("copies")), "simhash-points")
     edges = links(points.select(*cols), shape)
     key = (lambda side: F.col(f"{side}0")) if len(cols) == 1 else (lambda side: F.struct(*[F.col(f"{side}{k}").alias(f"w{k}") for k in range(len(cols))]))
     roots, _ = connected_components(edges.select(key("a").alias("a"), key("b").alias("b")))
     node = F.col("w0") if len(cols) == 1 else F.struct(*[F.col(c) for c in cols])
     labelled = points.withColumn("node", node).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = labelled.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("points"))
-    linked = join_groups(labelled, least, "root", "points", points.count()).select(*cols, "component_id")
-    return prints.join(linked, cols).select("doc_id", *cols, "component_id")
+    linked = join_groups(labelled, least, "root", "points", points.count())
+    # One fingerprint may be that of a third of all rows: copies, or texts without words.
+    named = linked.select(F.col("node").alias("_node"), "copies", "component_id")
+    return join_groups(prints.withColumn("_node", node), named, "_node", "copies", prints.count()).select("doc_id", *cols, "component_id")
 
 
 def near_duplicates_removed(docs: DataFrame, shape: Shape = NEAR) -> DataFrame:
