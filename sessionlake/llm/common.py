@@ -109,6 +109,14 @@ def text_rows(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Python workers of the session get at most ``rows`` rows at once from here on, so that a batch of long texts, as
+    Arrow and as objects, stays a small part of an executor's memory."""
+    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
 def give_back() -> None:
     """Return the memory that this process holds but does not use. Python workers are reused, and an idle one's memory
     counts with its executor's."""

@@ -135,17 +135,18 @@ class Encoder:
         return b"".join([known(p) or stretch(p) for p in [first, *[" " + x for x in rest]] if p])
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_PIECES = 400_000
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, most: int = _PIECES) -> Encoder:
     """One for each file and process, kept while the process lives."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    if (path, most) not in _ENCODERS:
+        _ENCODERS[path, most] = Encoder(path, most)
+    return _ENCODERS[path, most]
 
 
-def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0) -> DataFrame:
+def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, most: int = _PIECES) -> DataFrame:
     """Write ``docs`` (doc_id, text) as shards below ``folder`` and return the offset index, itself stored there.
 
     Documents are dealt by ranges of doc_id, so shards follow each other and a hot source is nothing special. Null
@@ -161,7 +162,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0)
         from pyspark import TaskContext
 
         shard = TaskContext.get().partitionId()
-        own = encoder(tokenizer)
+        own = encoder(tokenizer, most)
         end = np.array([end_id], dtype=own.kind).tobytes()
         files, root = fs.FileSystem.from_uri(folder)
         files.create_dir(root, recursive=True)
@@ -247,9 +248,10 @@ def record_at(folder: str, shard: int, offset: int, size: int, width: int) -> tu
     return struct.unpack_from("<q", payload)[0], np.frombuffer(payload, dtype="<u2" if width == 2 else "<u4", offset=8)
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None) -> DataFrame:
-    """Write ``docs`` to ``folder`` (a scratch folder unless given) and read the records back."""
+def encoded(docs: DataFrame, tokenizer: str, end_id: int = 0, folder: str | None = None, most: int = _PIECES) -> DataFrame:
+    """Write ``docs`` to ``folder`` (a scratch folder unless given) and read the records back. ``most``: short pieces of
+    text whose ids a process remembers, some 200 bytes each."""
     spark = docs.sparkSession
     folder = folder or scratch_path(spark, "records")
-    write_shards(docs, tokenizer, folder, end_id)
+    write_shards(docs, tokenizer, folder, end_id, most)
     return read_shards(spark, folder)
