@@ -97,3 +97,35 @@ def test_awkward_rows(awkward, nothing):
     assert kept.columns == awkward.columns
     assert kept.count() == sum(r["kept"] for r in rows)
     assert mixing.mixed(nothing).count() == mixing.sampled(nothing).count() == 0
+
+
+def test_topics_come_from_all_documents(spark):
+    """Two of 6,000 documents are of a kind of their own: both are topics then, whichever documents a hash would draw;
+    idf and centres are those of all rows, and no layout changes a cluster."""
+    rows = [(i, f"plain words {'river' if i % 2 else 'engine'} here", "en", "a") for i in range(6000)] + [(6000, "violin opera piano", "en", "a"), (6001, "quartz basalt granite", "en", "a")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    found = {r["doc_id"]: r["topic"] for r in mixing.mixed(frame, Rule(topics=4)).collect()}
+    assert len(set(found.values())) == 4 and len({found[i] for i in (0, 1, 6000, 6001)}) == 4
+    assert {i: found[i % 2] for i in range(6000)} == {i: t for i, t in found.items() if i < 6000}
+    assert found == {r["doc_id"]: r["topic"] for r in mixing.mixed(frame.orderBy(F.desc("doc_id")).repartition(3), Rule(topics=4)).collect()}
+
+
+def test_clusters_against_brute_force(documents):
+    """A pass over all documents moves each centre to the mean of what is nearest to it."""
+    rule = Rule(topics=4, passes=1)
+    seen, plainly = [], mixing._moved
+    mixing._moved = lambda found, topics: seen.append((found.collect(), topics, plainly(found, topics))) or seen[-1][2]
+    try:
+        mixing.counted(documents, rule)
+    finally:
+        mixing._moved = plainly
+    (rows, topics, moved), n = seen[0], documents.where("trim(text) <> ''").count()
+    assert len(rows) == n and len(topics.centres) == 4
+    x = np.zeros((n, rule.features))
+    for k, r in enumerate(rows):
+        x[k, np.frombuffer(r["at"], dtype=topics.kind)] = np.frombuffer(r["weight"], dtype=np.int32) / mixing.SCALE
+    assert np.allclose(np.linalg.norm(x, axis=1), 1, atol=1e-6)
+    assert np.allclose(topics.idf, np.log((n + 1) / ((x > 0).sum(axis=0) + 1)))  # no word is in all documents
+    assert all(np.abs(x - c).sum(axis=1).min() < 1e-9 for c in topics.centres)  # starts are rows
+    near = ((x[:, None, :] - topics.centres[None]) ** 2).sum(axis=2).round(7).argmin(axis=1)
+    assert np.allclose(moved, np.stack([x[near == k].mean(axis=0) for k in range(4)]), atol=1e-8)
