@@ -117,6 +117,12 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def without_old_shuffles(spark: SparkSession) -> None:
+    """From here on Spark deletes an action's shuffle files when the action ends. Nothing here reads them again: what is
+    needed twice is :func:`stored`. Else they stay until the driver happens to collect its garbage."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def give_back() -> None:
     """Return the memory that this process holds but does not use. Python workers are reused, and an idle one's memory
     counts with its executor's."""

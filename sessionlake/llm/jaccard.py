@@ -12,7 +12,7 @@ a group all pairs are decided by counting what they share. Large groups are deal
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -47,6 +47,15 @@ def _name(own: np.ndarray) -> tuple[int, int]:
     return tuple(np.frombuffer(xxhash.xxh128_digest(own.tobytes()), dtype=np.int64).tolist())
 
 
+def _fingerprint(own: np.ndarray) -> np.ndarray:
+    """The set's SimHash of 128 bits: half from the members' hashes, half from these mixed once more."""
+    from .simhash import majority
+
+    x = (own ^ (own >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return majority(np.stack((own, x ^ (x >> np.uint64(31))), axis=1)).view(np.int64)
+
+
 def _parity(own: np.ndarray, size: int = 64 * MAP) -> np.ndarray:
     odd = np.bincount((own & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
@@ -87,7 +96,7 @@ def _prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
 
 
 def prints(docs: DataFrame, words: int) -> DataFrame:
-    """doc_id, the name of the text's set, its size, its parity map and its prefix."""
+    """doc_id, the name of the text's set, its size, its fingerprint, its parity map and its prefix."""
 
     sent = send(docs.sparkSession, common(docs, words))
 
@@ -96,11 +105,12 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
             sets = [shingles(t, words) for t in frame["text"]]
             names = np.array([_name(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             maps = np.array([_parity(s) for s in sets], dtype=np.int64).reshape(-1, MAP)
+            bits = np.array([_fingerprint(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             sizes = [len(s) for s in sets]
             prefix = [_prefix(s, sent.value).tobytes() for s in sets]
-            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "h0": names[:, 0], "h1": names[:, 1], "n": sizes} | {f"s{k}": maps[:, k] for k in range(MAP)} | {"prefix": prefix, "long": [_long(s) for s in sets]})
+            yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "h0": names[:, 0], "h1": names[:, 1], "n": sizes, "w0": bits[:, 0], "w1": bits[:, 1]} | {f"s{k}": maps[:, k] for k in range(MAP)} | {"prefix": prefix, "long": [_long(s) for s in sets]})
 
-    return text_rows(docs).mapInPandas(trimmed(run), "doc_id long, h0 long, h1 long, n long, " + "".join(f"s{k} long, " for k in range(MAP)) + "prefix binary, long binary")
+    return text_rows(docs).mapInPandas(trimmed(run), "doc_id long, h0 long, h1 long, n long, w0 long, w1 long, " + "".join(f"s{k} long, " for k in range(MAP)) + "prefix binary, long binary")
 
 
 def _index(points: DataFrame) -> DataFrame:
@@ -331,12 +341,16 @@ def similar(docs: DataFrame, points: DataFrame, edges: DataFrame, words: int, lo
     return ready.mapInPandas(trimmed(run), "a0 long, a1 long, b0 long, b1 long").distinct()
 
 
-def kept_ids(docs: DataFrame, words: int = 5, chunk: int = 8192, load: int = 1_000_000) -> DataFrame:
+def kept_ids(docs: DataFrame, words: int = 5, chunk: int = 8192, load: int = 1_000_000, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id: the least of each component of similar documents. Rows need a doc_id; texts with equal sets, those without
-    words among them, are linked."""
-    first = [F.first(c).alias(c) for c in ("n", *COLUMNS[3:], "prefix", "long")]
+    words among them, are linked. ``near``: gives candidate edges from the sets' names and fingerprints (h0, h1, w0, w1), by
+    SimHash; the index of prefixes adds what is further apart, and each candidate is checked."""
+    first = [F.first(c).alias(c) for c in ("n", "w0", "w1", *COLUMNS[3:], "prefix", "long")]
     points, _ = stored(prints(docs, words).groupBy("h0", "h1").agg(F.min("doc_id").alias("least"), *first), "jaccard-points")
-    edges = similar(docs, points, candidates(points, chunk), words, load)
+    edges = candidates(points, chunk)
+    if near:
+        edges = near(points.select("h0", "h1", "w0", "w1")).union(edges)
+    edges = similar(docs, points, edges, words, load)
     point = lambda a, b: F.struct(F.col(a).alias("h0"), F.col(b).alias("h1"))
     roots, _ = connected_components(edges.select(point("a0", "a1").alias("a"), point("b0", "b1").alias("b")))
     labelled = points.select(point("h0", "h1").alias("node"), "least").join(roots, "node", "left")

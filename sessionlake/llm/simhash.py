@@ -47,9 +47,11 @@ class Shape:
             raise ValueError("bits must be 64 or 128, in equal blocks of at most 64")
 
 
-#: Five words and a similarity of 0.8 or more. At Jaccard 0.8 the bits of two fingerprints differ with probability
-#: acos(2 J / (1 + J)) / pi = 0.151 each: 19 of 128 on average, standard deviation 4.1.
-NEAR = Shape(words=5, bits=128, reach=28, blocks=4, radius=4, once=True)
+#: Five words, each distinct shingle once, as Jaccard similarity counts them. Links reach as far as the covering
+#: guarantees, 9 of 128 bits, and blocks are wide, so that few unrelated texts meet. No affordable radius is a similarity:
+#: at Jaccard 0.8 the bits of two fingerprints differ with probability acos(2 J / (1 + J)) / pi = 0.151 each. So
+#: :func:`near_duplicates_removed` checks every link and gets pairs further apart from an index of prefixes.
+NEAR = Shape(words=5, bits=128, reach=9, blocks=2, radius=4, once=True)
 
 
 def masks(bits: int, radius: int) -> np.ndarray:
@@ -76,10 +78,16 @@ def fingerprint(text: str | None, shape: Shape = Shape()) -> np.ndarray:
         hashes = np.fromiter((xxhash.xxh64_intdigest(buffer[a:b], shape.seed) for a, b in zip(starts, ends)), dtype=np.uint64, count=len(starts))
     else:
         hashes = np.frombuffer(b"".join([xxhash.xxh128_digest(buffer[a:b], shape.seed) for a, b in zip(starts, ends)]), dtype=np.uint64)
-    ones = np.zeros(shape.bits, dtype=np.int64)
     rows = hashes.reshape(-1, wide)
     if shape.once:  # the low word tells shingles apart
         rows = rows[np.unique(rows[:, 0], return_index=True)[1]]
+    return majority(rows)
+
+
+def majority(rows: np.ndarray) -> np.ndarray:
+    """The bits that are set in over half of the rows of 64-bit words; none without rows."""
+    wide = rows.shape[1]
+    ones = np.zeros(64 * wide, dtype=np.int64)
     for i in range(0, len(rows), 65536):  # bounded memory for very long texts
         part = np.ascontiguousarray(rows[i : i + 65536]).view(np.uint8).reshape(-1, 8 * wide)
         ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -293,9 +301,24 @@ def components(docs: DataFrame, shape: Shape = Shape()) -> DataFrame:
     return join_groups(prints.withColumn("_node", node), named, "_node", "copies", prints.count()).select("doc_id", *cols, "component_id")
 
 
+def near_links(sets: DataFrame, shape: Shape = NEAR) -> DataFrame:
+    """Edges (a0, a1, b0, b1) whose components are those of all pairs of ``sets`` (h0, h1: its name; w0, w1: its
+    fingerprint) within ``shape.reach`` bits, by the covering tables."""
+    print_ = F.struct(*[f"w{k}" for k in range(shape.bits // 64)])
+    sets = sets.select(F.struct("h0", "h1").alias("name"), print_.alias("print"))
+    known, _ = stored(sets.groupBy("print").agg(F.min("name").alias("first"), F.count("*").alias("sets")), "simhash-known")
+    edges = links(known.select("print.*"), shape)
+    end = lambda s: known.select(F.col("print").alias(f"_{s}"), F.col("first").alias(s))
+    side = lambda s: F.struct(*[F.col(f"{s}{k}").alias(f"w{k}") for k in range(shape.bits // 64)])
+    far = edges.select(side("a").alias("_a"), side("b").alias("_b")).join(end("a"), "_a").join(end("b"), "_b").select("a", "b")
+    same = join_groups(sets, known.where("sets > 1"), "print", "sets", sets.count()).where("first <> name").select(F.col("first").alias("a"), F.col("name").alias("b"))
+    return far.union(same).select(*[F.col(f"{s}.h{k}").alias(f"{s}{k}") for s in "ab" for k in (0, 1)])
+
+
 def near_duplicates_removed(docs: DataFrame, shape: Shape = NEAR) -> DataFrame:
     """``docs`` without all but one document of each component: the one with the least doc_id. A link is a Jaccard
-    similarity of 0.8 or more of the shingle sets, decided exactly; of ``shape``, words and chunk count. Rows that repeat
+    similarity of 0.8 or more of the shingle sets, decided exactly: on what the covering tables of ``shape`` link, and on
+    what only an index of prefixes can find, since similar texts may be further apart than the tables reach. Rows that repeat
     a doc_id count once. A row without doc_id is known by its text, and goes before one that has an id: of such rows with
     equal texts one stays, and none where a row with an id is a near duplicate."""
     columns, name = plain(docs), "_row_key"
@@ -304,7 +327,7 @@ def near_duplicates_removed(docs: DataFrame, shape: Shape = NEAR) -> DataFrame:
     # Above all ids of tables that number their rows; a clash of a hash with an id has a chance of rows / 2 ** 62.
     by_text = F.xxhash64(F.col("text").cast("string")).bitwiseAND((1 << 62) - 1).bitwiseOR(1 << 62)
     named = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), by_text).alias(name))
-    keep = kept_ids(named.select(F.col(name).alias("doc_id"), "text"), shape.words, shape.chunk).toDF(name)
+    keep = kept_ids(named.select(F.col(name).alias("doc_id"), "text"), shape.words, shape.chunk, near=lambda sets: near_links(sets, shape)).toDF(name)
     kept = named.join(keep, name, "left_semi")
     repeated = named.groupBy(name).count().where("count > 1")
     if repeated.isEmpty():

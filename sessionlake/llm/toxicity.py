@@ -279,7 +279,9 @@ def learn(docs: DataFrame, labels: DataFrame, rule: Rule = Rule()) -> Model:
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     share, sizes = _share(known, rule)
     chosen = known.where(_draw(F.col("doc_id")) < share)
-    return fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), rule, sizes)
+    model = fit(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), rule, sizes)
+    give_back()  # the driver's, too, which goes on
+    return model
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -74,3 +74,25 @@ def test_groups_against_brute_force_whatever_the_chunks(spark):
 
 def test_documents_against_brute_force(documents, texts):
     assert ids(jaccard.kept_ids(documents)) == expected(sorted(texts.items()))
+
+
+def test_the_stage_links_by_covering_tables_and_checks_each_link(spark, monkeypatch):
+    """Without the index of prefixes the covering tables still link every pair within their radius; the index adds
+    what is further apart, and no link passes unchecked."""
+    rng, rows = random.Random(8), []
+    for i in range(120):
+        w = [word(rng) for _ in range(400)]
+        rows.append((2 * i, " ".join(w)))
+        for k in range(i % 8):  # 0 to 7 changed words: similarity 1 to 0.84
+            w[20 + 50 * k] = word(rng)
+        rows.append((2 * i + 1, " ".join(w)))
+    bits = {d: jaccard._fingerprint(jaccard.shingles(t, 5)) for d, t in rows}
+    apart = {i: sum(int(x ^ y).bit_count() for x, y in zip(bits[2 * i].view("u8").tolist(), bits[2 * i + 1].view("u8").tolist())) for i in range(120)}
+    within = {2 * i + 1 for i, n in apart.items() if n <= simhash.NEAR.reach}
+    assert 20 < len(within) < 110
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ids(simhash.near_duplicates_removed(frame)) == expected(rows) == {2 * i for i in range(120)}
+    monkeypatch.setattr(jaccard, "candidates", lambda points, chunk: points.select("h0", "h1", "h0", "h1").toDF("a0", "a1", "b0", "b1").where("false"))
+    assert ids(simhash.near_duplicates_removed(frame)) == {d for d, _ in rows} - within
+    monkeypatch.setattr(jaccard, "exact_stars", lambda sets: [])
+    assert ids(simhash.near_duplicates_removed(frame)) == {d for d, t in rows if d % 2 == 0 or t != rows[d - 1][1]}
