@@ -1,7 +1,8 @@
 """From raw documents to token records: five stages, each on all that the one before kept.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes it as Parquet in the shared folder and
-reads it back as the next one's ``docs``. All but the last keep the columns of ``documents``.
+reads it back as the next one's ``docs``. All but the last keep the columns of ``documents``. A stage deletes the scratch
+tables of those before it.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sessionlake.llm import mixing, positional, records, simhash, toxicity
-from sessionlake.llm.common import begin_step, end_step, release, small_batches, stored, table, without_old_shuffles
+from sessionlake.llm.common import begin_step, end_step, release, releasing, small_batches, stored, table, without_old_shuffles
 from sessionlake.llm.queries import tokenizer_path
 
 
@@ -52,11 +53,16 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("toxicity", drop_toxic),
-    ("near_duplicates", drop_near_duplicates),
-    ("decontamination", drop_contaminated),
-    ("mixing", mix_sources),
-    ("token_records", write_tokens),
+    (name, releasing(place, stage))
+    for place, (name, stage) in enumerate(
+        [
+            ("toxicity", drop_toxic),
+            ("near_duplicates", drop_near_duplicates),
+            ("decontamination", drop_contaminated),
+            ("mixing", mix_sources),
+            ("token_records", write_tokens),
+        ]
+    )
 ]
 
 #: SQL has no tokenizer, nearest examples or SimHash; tests compare the stages with brute-force versions.

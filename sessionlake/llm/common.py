@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import functools
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -44,6 +46,8 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     _MADE.append(path)
+    if _STEP.now is not None:
+        _STEP.made.append((_STEP.now, path))
     return df.sparkSession.read.schema(df.schema).parquet(path), path
 
 
@@ -53,6 +57,39 @@ def send(spark: SparkSession, value: object) -> Broadcast:
     return _SENT[-1]
 
 
+class _Step(threading.local):
+    """The place of the stage that this thread is in, and the scratch tables of its stages, with their places."""
+
+    def __init__(self) -> None:
+        self.now: int | None = None
+        self.made: list[tuple[int, str]] = []
+
+
+_STEP = _Step()
+
+
+def releasing(place: int, stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """``stage``, which first deletes the scratch tables that stages of lesser places made in this thread, all but those
+    that ``docs`` still reads: the result of such a stage is to be written before a later one begins."""
+
+    @functools.wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        old = [m for m in _STEP.made if m[0] < place]
+        files = docs.inputFiles() if old else []
+        for made in old:
+            name = made[1].rsplit("/", 1)[1]
+            if not any(f"/{name}/" in f for f in files):
+                release(spark, made[1])
+                _STEP.made.remove(made)
+        before, _STEP.now = _STEP.now, place
+        try:
+            return stage(spark, docs, sf_dir)
+        finally:
+            _STEP.now = before
+
+    return run
+
+
 def begin_step() -> None:
     """From here on :func:`end_step` counts. What was made before stays."""
     _MADE.clear()

@@ -4,7 +4,7 @@ import numpy as np
 
 import corpus_pipeline
 from sessionlake.llm import positional, simhash
-from sessionlake.llm.common import stored
+from sessionlake.llm.common import releasing, stored
 from sessionlake.llm.queries import QUERIES, tokenizer_path
 
 
@@ -52,3 +52,26 @@ def test_rows_without_and_with_repeated_ids(spark):
     left = simhash.near_duplicates_removed(docs.where("text is null or text <> '" + bad + "'"), simhash.NEAR)
     assert left.columns == docs.columns
     assert sorted(map(repr, [(r["doc_id"], r["text"]) for r in left.collect()])) == sorted(map(repr, [rows[2], (7, copy), rows[6], rows[7]]))
+
+
+def test_a_stage_deletes_the_scratch_tables_of_those_before_it(spark, tmp_path):
+    """But not those that its input still reads, nor those of its own place, nor what other queries made."""
+    docs = spark.range(10).withColumnRenamed("id", "doc_id")
+    paths = []
+
+    def stage(spark, docs, sf_dir):
+        frame, path = stored(docs, "test-stage")
+        paths.append(path)
+        return frame
+
+    there = lambda: [spark._jvm.java.io.File(p[7:]).exists() for p in paths]
+    other, _ = stored(docs, "test-other")
+    lazy = releasing(0, stage)(spark, docs, "")
+    releasing(0, stage)(spark, docs, "")
+    assert there() == [True, True]
+    second = releasing(1, stage)(spark, lazy, "")
+    assert there() == [True, False, True] and second.count() == lazy.count() == 10
+    written = str(tmp_path / "out")
+    second.write.parquet(written)
+    assert releasing(2, stage)(spark, spark.read.parquet(written), "").count() == 10
+    assert there() == [False, False, False, True] and other.count() == 10
