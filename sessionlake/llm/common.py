@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
+from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,44 +52,62 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 
 
 def send(spark: SparkSession, value: object) -> Broadcast:
-    """A broadcast that :func:`end_step` takes back."""
+    """A broadcast that :func:`end_step` or a later stage (:func:`releasing`) takes back."""
     _SENT.append(spark.sparkContext.broadcast(value))
+    if _STEP.now is not None:
+        _STEP.sent.append((_STEP.now, _STEP.read, spark.sparkContext, _SENT[-1]))
     return _SENT[-1]
 
 
 class _Step(threading.local):
-    """The place of the stage that this thread is in, and the scratch tables of its stages, with their places."""
+    """The place of the stage that this thread is in and the files that its input reads; the scratch tables and the
+    broadcasts of its stages, with their places."""
 
     def __init__(self) -> None:
         self.now: int | None = None
+        self.read: frozenset[str] = frozenset()
         self.made: list[tuple[int, str]] = []
+        self.sent: list[tuple[int, frozenset[str], SparkContext, Broadcast]] = []
 
 
 _STEP = _Step()
 
 
 def releasing(place: int, stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
-    """``stage``, which first deletes the scratch tables that stages of lesser places made in this thread, all but those
-    that ``docs`` still reads: the result of such a stage is to be written before a later one begins."""
+    """``stage``, which first deletes what stages of lesser places made in this thread and ``docs`` does not read: scratch
+    tables and broadcasts, whose blocks the driver holds in its heap. The result of such a stage is to be written before
+    a later one begins; one that was not, or that reads no files, keeps them."""
 
     @functools.wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        old = [m for m in _STEP.made if m[0] < place]
-        files = docs.inputFiles() if old else []
-        for made in old:
+        files, read = frozenset(docs.inputFiles()), set()
+        for made in [m for m in _STEP.made if m[0] < place]:
             name = made[1].rsplit("/", 1)[1]
-            if not any(f"/{name}/" in f for f in files):
+            if any(f"/{name}/" in f for f in files):
+                read.add(made[0])
+            else:
                 release(spark, made[1])
                 _STEP.made.remove(made)
-        before, _STEP.now = _STEP.now, place
+        _STEP.sent[:] = [s for s in _STEP.sent if s[2] is spark.sparkContext]  # those of another died with it
+        for at, needs, _, sent in [s for s in _STEP.sent if s[0] < place]:
+            if files and at not in read and not files & needs:
+                take_back(sent)
+        before, _STEP.now, _STEP.read = (_STEP.now, _STEP.read), place, files
         try:
             return stage(spark, docs, sf_dir)
         finally:
-            _STEP.now = before
+            _STEP.now, _STEP.read = before
 
     return run
 
 
+def take_back(sent: Broadcast) -> None:
+    """Destroy what :func:`send` gave, once."""
+    sent.destroy()
+    _SENT[:] = [s for s in _SENT if s is not sent]
+    _STEP.sent[:] = [s for s in _STEP.sent if s[3] is not sent]
+
+
 def begin_step() -> None:
     """From here on :func:`end_step` counts. What was made before stays."""
     _MADE.clear()
@@ -102,8 +120,8 @@ def end_step(spark: SparkSession, *keep: str) -> None:
     for path in _MADE:
         if path not in keep:
             release(spark, path)
-    for sent in _SENT:
-        sent.destroy()
+    for sent in [*_SENT]:
+        take_back(sent)
     begin_step()
 
 
@@ -127,8 +145,10 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total:
     """``rows`` joined with the row of their group (``groups``: key, size, values; each key once, none null).
 
     Groups of more than a ten-thousandth of ``total`` rows number fewer than ten thousand: they are broadcast, and no
-    key of the other join has more rows than that."""
+    key of the other join has more rows than that. A table too small for such a group takes one join."""
     large = max(1000, total // 10_000)
+    if total <= large:
+        return rows.join(groups.drop(size), key)
     values = [c for c in groups.columns if c not in (key, size)]
     hot = groups.where(F.col(size) > large).select(key, *values, F.lit(True).alias("_hot"))
     near = rows.join(F.broadcast(hot), key, "left")

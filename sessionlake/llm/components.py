@@ -20,10 +20,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
     spark = edges.sparkSession
     pairs = edges.where("a is not null and b is not null and a <> b")
     now, path = stored(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "cc")
-    before = None
-    for _ in range(max_rounds):
+    before, total = None, 2 * now.count()
+    for _ in range(max_rounds if total else 0):
         both = now.union(now.select("b", "a"))
-        total = 2 * now.count()
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("size"))
         # Each neighbour above a node now hangs on the least of that node's neighbourhood.
         large = join_groups(both.where("b > a"), least, "a", "size", total).select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -43,8 +42,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> tuple[DataFr
         now, path = new, new_path
         if tuple(state) == before:
             break
-        before = tuple(state)
+        before, total = tuple(state), 2 * state[0]
     else:
-        raise RuntimeError("connected components did not settle")
+        if total:
+            raise RuntimeError("connected components did not settle")
     roots = now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
     return roots.union(roots.select(F.col("root").alias("node"), "root").distinct()), [path]

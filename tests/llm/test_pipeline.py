@@ -1,10 +1,11 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from sessionlake.llm import positional, simhash
-from sessionlake.llm.common import releasing, stored
+from sessionlake.llm.common import begin_step, end_step, join_groups, releasing, send, stored
 from sessionlake.llm.queries import QUERIES, tokenizer_path
 
 
@@ -75,3 +76,41 @@ def test_a_stage_deletes_the_scratch_tables_of_those_before_it(spark, tmp_path):
     second.write.parquet(written)
     assert releasing(2, stage)(spark, spark.read.parquet(written), "").count() == 10
     assert there() == [False, False, False, True] and other.count() == 10
+
+
+def test_a_stage_takes_back_the_broadcasts_of_those_before_it(spark, sf_dir, documents, tmp_path):
+    """Else each run leaves its models in the driver's heap. But not what a result that was not written still needs."""
+    sent = []
+
+    def stage(spark, docs, sf_dir):
+        sent.append(send(spark, {7: "x"}))
+        known = sent[-1]
+        return docs.where(F.udf(lambda n: n % 10 in known.value, "boolean")("doc_id"))
+
+    def last(spark, docs, sf_dir):
+        return docs
+
+    there = lambda s: spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().getStatus(spark.sparkContext._jvm.org.apache.spark.storage.BroadcastBlockId(s._jbroadcast.id(), "")).isDefined()
+    lazy = releasing(0, stage)(spark, documents, sf_dir)
+    assert releasing(1, last)(spark, lazy, sf_dir).count() == lazy.count() > 0 and there(sent[0])
+    lazy.write.parquet(str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert releasing(1, stage)(spark, written, sf_dir).count() == written.count()
+    assert [there(s) for s in sent] == [False, True]
+    assert releasing(1, stage)(spark, written, sf_dir).count() == written.count()
+    assert [there(s) for s in sent] == [False, True, True]
+    begin_step()
+    releasing(1, stage)(spark, written, sf_dir)
+    end_step(spark)
+    assert [there(s) for s in sent] == [False, True, True, False]
+    releasing(2, last)(spark, documents, sf_dir)
+    assert [there(s) for s in sent] == [False] * 4
+
+
+def test_a_small_table_meets_its_groups_in_one_join(spark):
+    rows = spark.createDataFrame([(k % 7, k) for k in range(1500)] + [(None, 1)], "k int, v int")
+    groups = spark.createDataFrame([(k, 100 + 1200 * (k == 3), f"g{k}") for k in range(6)], "k int, size int, name string")
+    one, parts = join_groups(rows, groups, "k", "size", 900), join_groups(rows, groups, "k", "size", 1501)
+    assert one.columns == parts.columns and sorted(map(tuple, one.collect())) == sorted(map(tuple, parts.collect()))
+    joins = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("Join")
+    assert (joins(one), joins(parts)) == (1, 3)
