@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, SparkContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -212,3 +213,17 @@ def pieces(frames: Iterator[pd.DataFrame], limit: int = 16_000_000, column: str
                 start, total = i, 0
             total += int(n)
         yield frame.iloc[start:]
+
+
+def arrow_pieces(batches: Iterator[pa.RecordBatch], limit: int = 16_000_000, column: str = "text") -> Iterator[pa.RecordBatch]:
+    """:func:`pieces` of Arrow batches, by bytes."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch[column]), 0).to_pylist()
+        start, total = 0, 0
+        for i, n in enumerate(sizes):
+            if total and total + n > limit:
+                yield batch.slice(start, i - start)
+                start, total = i, 0
+            total += n
+        if sizes:
+            yield batch.slice(start)

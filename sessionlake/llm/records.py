@@ -25,14 +25,17 @@ from typing import BinaryIO
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import pieces, release, scratch_path, stored, text_rows, trimmed
+from .common import arrow_pieces, scratch_path, stored, text_rows, trimmed
 
 _MASK = 0xA282EAD8
 _INDEX = "shard int, number long, doc_id long, offset long, bytes long, n_tokens long"
+_ROW = [c.split()[0] for c in _INDEX.split(", ")]
 
 
 def masked(data: bytes) -> int:
@@ -76,8 +79,11 @@ class Encoder:
     space, and none looks behind. So the ids of a text are those of its stretches, cut there, one after the other. A
     stretch of ASCII (its printable characters and white space) and Latin letters alone is cut on into the pattern's
     pieces, since no version of Unicode differs on these characters; the library's model merges each piece once and the
-    result is kept, up to ``most`` short pieces and stretches a process. The library gets all other stretches as they are, and texts that hold added tokens, or all texts where
-    the tokenizer is of another kind, whole.
+    result is kept, up to ``most`` short pieces and stretches a process. The library gets all other stretches as they
+    are, and texts that hold added tokens, or all texts where the tokenizer is of another kind, whole.
+
+    ``encode_all`` gives the same ids for an array of texts: Arrow splits them, and a stretch that occurs in several places
+    of the array is looked up once.
     """
 
     def __init__(self, path: str, most: int = 400_000) -> None:
@@ -101,7 +107,10 @@ class Encoder:
         self.settled = re.compile(f"[\t-\r -~{letters}]+").fullmatch
         self.pieces = re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[0-9]+| ?[!-/:-@\\[-`{{-~]+|[\t-\r ]+(?![^\t-\r ])|[\t-\r ]+").findall
         self.letters, self.model = _byte_letters(), self.library.model
+        self.codes = [k.to_bytes(self.width, "little") for k in range(max(self.library.get_vocab(with_added_tokens=True).values(), default=0) + 1)]
         self.cut = re.compile(f" (?<=[^{_BLANK}] )(?=[^{_BLANK}])")
+        blank = "".join(c if c == "-" else f"\\x{{{ord(c):x}}}" for c in _BLANK)
+        self.blank = f"^[{blank}]|^$", f"[{blank}]$|^$"  # for Arrow's expressions
 
     def _batch(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -114,7 +123,8 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         plain = piece.isascii() and piece.isprintable()  # only the space is then written otherwise
         raw = piece.replace(" ", self.letters[32]) if plain else piece.encode().decode("latin-1").translate(self.letters)
-        return self._keep(piece, b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(raw)]))
+        codes = self.codes
+        return self._keep(piece, b"".join([codes[t.id] for t in self.model.tokenize(raw)]))
 
     def _stretch(self, stretch: str) -> bytes:
         if not self.settled(stretch):
@@ -134,6 +144,45 @@ class Encoder:
         first, *rest = self.cut.split(text)
         return b"".join([known(p) or stretch(p) for p in [first, *[" " + x for x in rest]] if p])
 
+    def encode_all(self, texts: pa.Array) -> tuple[memoryview, np.ndarray]:
+        """The ids of all texts of an array of strings, one after the other, and where in these bytes each text's begin
+        and the last one's end."""
+        texts = pc.fill_null(texts, "")
+        whole = pa.array(np.full(len(texts), not self.cuts))
+        for t in self.added:
+            whole = pc.or_(whole, pc.match_substring(texts, t))
+        parts = pc.split_pattern(pc.if_else(whole, "", texts), " ")
+        coded = parts.values.dictionary_encode()
+        words, index, starts = coded.dictionary, coded.indices.to_numpy(), parts.offsets.to_numpy()
+        # A stretch begins with a text or where its space is a cut; else it goes on over several parts.
+        opens, closes = (pc.match_substring_regex(words, p).to_numpy(zero_copy_only=False) for p in self.blank)
+        begins, head = np.ones(len(index), bool), np.zeros(len(index), bool)
+        begins[1:] = ~(closes[index[:-1]] | opens[index[1:]])
+        begins[starts[:-1]] = head[starts[:-1]] = True
+        at = np.flatnonzero(begins)
+        head, size = head[at], np.diff(at, append=len(index))
+        odd = head | (size > 1)
+        used = np.zeros(len(words), bool)
+        used[index[at[~odd]]] = True
+        words = words.to_numpy(zero_copy_only=False)
+        known, stretch = self.known.get, self._stretch
+        ids = [known(p) or stretch(p) for p in [" " + x for x in words[used].tolist()]]
+        code, others = (np.cumsum(used) - 1)[index[at]], {"": len(ids)}
+        ids.append(b"")
+        for k, start, n, first in zip(np.flatnonzero(odd).tolist(), at[odd].tolist(), size[odd].tolist(), head[odd].tolist()):
+            p = ("" if first else " ") + " ".join(words[index[start : start + n]].tolist())
+            if p not in others:
+                others[p] = len(ids)
+                ids.append(known(p) or stretch(p))
+            code[k] = others[p]
+        starts = np.searchsorted(at, starts)
+        for k in np.flatnonzero(whole.to_numpy(zero_copy_only=False)).tolist():
+            code[starts[k]] = len(ids)
+            ids.append(self._batch([texts[k].as_py()])[0])
+        found = pa.array(ids, pa.large_binary()).take(pa.array(code))
+        ends = np.concatenate(([0], np.cumsum(pc.binary_length(found).to_numpy())))
+        return memoryview(found.buffers()[2] or b""), ends[starts]
+
 
 _ENCODERS: dict[tuple[str, int], Encoder] = {}
 _PIECES = 400_000
@@ -155,7 +204,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     """
     rows = text_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
 
         from pyarrow import fs
@@ -169,16 +218,23 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
         final, part = f"{root}/shard-{shard:06d}.rec", f"{root}/.{uuid.uuid4().hex}"
         offset, number, out = 0, 0, None
         try:
-            for frame in pieces(frames):
-                rows = []
-                for doc, text in zip(frame["doc_id"].astype(object).tolist(), frame["text"].tolist()):
-                    ids = own.encode(text) + end
-                    record = framed(struct.pack("<q", -(1 << 63) if doc is None or doc != doc else int(doc)) + ids)
-                    out = out or files.open_output_stream(part)
-                    out.write(record)
-                    rows.append((shard, number, doc, offset, len(record), len(ids) // own.width))
-                    offset, number = offset + len(record), number + 1
-                yield pd.DataFrame(rows, columns=["shard", "number", "doc_id", "offset", "bytes", "n_tokens"]).astype({"doc_id": "Int64"})
+            for batch in arrow_pieces(batches):
+                data, at = own.encode_all(batch["text"])
+                records = []
+                for k, doc in enumerate(batch["doc_id"].to_pylist()):
+                    records.append(framed(b"".join((struct.pack("<q", -(1 << 63) if doc is None else doc), data[at[k] : at[k + 1]], end))))
+                out = out or files.open_output_stream(part)
+                out.write(b"".join(records))
+                sizes = np.array([len(r) for r in records], dtype="int64")
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(np.full(len(sizes), shard, dtype="int32")),
+                    pa.array(np.arange(number, number + len(sizes))),
+                    batch["doc_id"],
+                    pa.array(offset + np.cumsum(sizes) - sizes),
+                    pa.array(sizes),
+                    pa.array(np.diff(at) // own.width + 1),
+                ], names=_ROW)
+                offset, number = offset + int(sizes.sum()), number + len(sizes)
             if out:
                 out.close()
                 files.move(part, final)
@@ -189,7 +245,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
                 files.delete_file(part)
 
     path = f"{folder}/index"
-    rows.mapInPandas(trimmed(run), _INDEX).write.parquet(path)
+    rows.mapInArrow(trimmed(run), _INDEX).write.parquet(path)
     (spark := docs.sparkSession).createDataFrame([(encoder(tokenizer).width,)], "id_bytes int").coalesce(1).write.parquet(f"{folder}/format")
     return spark.read.schema(_INDEX).parquet(path)
 

@@ -3,6 +3,7 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sessionlake.llm import records
@@ -44,6 +45,36 @@ def test_random_strings_give_the_library_s_ids(library):
             assert np.frombuffer(own.encode(text), dtype=own.kind).tolist() == whole.ids, repr(text)
 
 
+def whole_array(own, texts):
+    data, at = own.encode_all(texts)
+    return [np.frombuffer(data[a:b], dtype=own.kind).tolist() for a, b in zip(at[:-1], at[1:])]
+
+
+def test_arrays_give_the_library_s_ids(library, texts):
+    import random
+
+    rng, own = random.Random(5), records.Encoder(tokenizer_path(), most=100)
+    words = [*ODD, "the", "the,", "naïve", "日本", "x", "'s", "\n", "12"]
+    for n in range(60):
+        made = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(50)]
+        made += ["".join(any_character(rng) for _ in range(rng.randrange(30))) for _ in range(50)]
+        made += [None, "", *ODD, *(texts.values() if n == 0 else ())]
+        rng.shuffle(made)
+        found = whole_array(own, pa.array(made, pa.string()).slice(3))
+        assert found == [library.encode(t or "", add_special_tokens=False).ids for t in made[3:]]
+    assert whole_array(own, pa.array([], pa.string())) == []
+    assert whole_array(own, pa.array(["a b", None], pa.large_string())) == [library.encode("a b").ids, []]
+
+
+def test_an_array_s_stretches_are_encoded_once(library, monkeypatch):
+    """Also those that are not remembered."""
+    own, asked = records.Encoder(tokenizer_path(), most=0), []
+    monkeypatch.setattr(own, "_stretch", lambda s, f=own._stretch: asked.append(s) or f(s))
+    made = [f"w{k} some, more words" for k in range(300)]
+    assert whole_array(own, pa.array(made)) == [library.encode(t).ids for t in made]
+    assert sorted(asked) == sorted([*(f"w{k}" for k in range(300)), " some,", " more", " words"])
+
+
 def test_letters_newer_than_a_library_s_tables(library):
     own = records.Encoder(tokenizer_path())
     for text in ("\U00010940'll", "a \U00010940'll b \U00010d40 c", "x \U0001fae9'd y", " \u1c89 's"):
