@@ -7,7 +7,7 @@ what a sample finds common last, and else ascends. Two bounds drop pairs
 that meet for nothing, neither of them a similar one: what can still be shared from the meeting on, and the distance of
 two 256-bit parity maps, which the symmetric difference is never less than. Those maps are full for long texts, whose
 pairs are tried once more on maps as long as the sets ask for. What is left joins sets to candidate groups, and within
-a group all pairs are decided by counting what they share. Large groups are dealt as pairs of chunks.
+a group all pairs are decided by counting what they share. A large group is decided in steps (:func:`similar`).
 """
 
 from __future__ import annotations
@@ -17,14 +17,15 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release, send, shuffle_partitions, stored, text_rows, trimmed
+from .common import join_groups, pieces, release, send, shuffle_partitions, stored, text_rows, trimmed
 from .components import connected_components
 
 MAP = 4  # words of a parity map
 LONG = 800  # sizes of a pair, summed, from which maps of that length are full
+BLANK = 720  # sets of more have an empty map: those similar to one have 4 / 5 as many, and a map of 256 bits refuses few such pairs
 COLUMNS = ["h0", "h1", "at", *[f"s{k}" for k in range(MAP)]]
 EDGE = ["a0", "a1", "b0", "b1", "ask"]
 
@@ -72,26 +73,43 @@ def _apart(one: bytes, two: bytes) -> int:
     return int(np.bitwise_count(x ^ np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0)).sum()) if len(x) else 0
 
 
-def common(docs: DataFrame, words: int, sample: int = 5000, least: int = 8, most: int = 4096) -> np.ndarray:
-    """Members that at least ``least`` of about ``sample`` documents have, in ascending order. They come last in the
-    order of all sets; which ones they are decides what meets for nothing, never what is found."""
+def common(docs: DataFrame, words: int, sample: int = 5000, share: int = 16, least: int = 8, most: int = 1 << 18) -> tuple[np.ndarray, np.ndarray]:
+    """Members that at least ``least`` of a sample have, in ascending order, and the rank of each, rarest first. They come
+    last in the order of all sets; which ones they are decides what meets for nothing, never what is found. The sample is a
+    document in ``share``, or about ``sample`` documents of fewer: with a fixed number of them a passage that a thousandth
+    of all documents hold would go unseen, and its bucket would grow with the table. Of more than ``most`` members
+    those of the least counts are left out."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames, 4_000_000):
             own, n = np.unique(np.concatenate([shingles(t, words) for t in frame["text"]]), return_counts=True)
             yield pd.DataFrame({"key": own.view(np.int64), "n": n})
 
-    every = max(1, docs.count() // sample)
+    every = max(1, min(share, docs.count() // sample))
     some = text_rows(docs).where(F.pmod(F.xxhash64("doc_id", F.lit("common")), F.lit(every)) == 0)
     counts = some.mapInPandas(trimmed(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    found = counts.orderBy(F.desc("n"), "key").limit(most).collect()  # bounded
-    return np.sort(np.array([r["key"] for r in found], dtype=np.int64).view(np.uint64))
+    counts, path = stored(counts, "jaccard-common")
+    held, from_ = 0, least
+    for n, keys in counts.groupBy("n").count().orderBy(F.desc("n")).collect():  # counts repeat: few rows
+        held += keys
+        if held > most:
+            from_ = n + 1
+            break
+    found = counts.where(F.col("n") >= from_).toArrow()  # bounded
+    release(docs.sparkSession, path)
+    key, n = (found.column(c).to_numpy() for c in ("key", "n"))
+    key = key.view(np.uint64)
+    order = np.argsort(key)
+    rank = np.empty(len(key), dtype=np.int32)
+    rank[np.lexsort((key, n))] = np.arange(len(key), dtype=np.int32)
+    return key[order], rank[order]
 
 
-def _prefix(own: np.ndarray, last: np.ndarray) -> np.ndarray:
+def _prefix(own: np.ndarray, last: np.ndarray, rank: np.ndarray) -> np.ndarray:
     if len(last):
-        late = last[np.minimum(np.searchsorted(last, own), len(last) - 1)] == own
-        own = np.concatenate((own[~late], own[late]))
+        place = np.minimum(np.searchsorted(last, own), len(last) - 1)
+        late = last[place] == own
+        own = np.concatenate((own[~late], own[late][np.argsort(rank[place[late]])]))
     return own[: len(own) - -(-4 * len(own) // 5) + 1]
 
 
@@ -104,10 +122,10 @@ def prints(docs: DataFrame, words: int) -> DataFrame:
         for frame in pieces(frames):
             sets = [shingles(t, words) for t in frame["text"]]
             names = np.array([_name(s) for s in sets], dtype=np.int64).reshape(-1, 2)
-            maps = np.array([_parity(s) for s in sets], dtype=np.int64).reshape(-1, MAP)
+            maps = np.array([_parity(s if len(s) <= BLANK else s[:0]) for s in sets], dtype=np.int64).reshape(-1, MAP)
             bits = np.array([_fingerprint(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             sizes = [len(s) for s in sets]
-            prefix = [_prefix(s, sent.value).tobytes() for s in sets]
+            prefix = [_prefix(s, *sent.value).tobytes() for s in sets]
             yield pd.DataFrame({"doc_id": frame["doc_id"].to_numpy(), "h0": names[:, 0], "h1": names[:, 1], "n": sizes, "w0": bits[:, 0], "w1": bits[:, 1]} | {f"s{k}": maps[:, k] for k in range(MAP)} | {"prefix": prefix, "long": [_long(s) for s in sets]})
 
     return text_rows(docs).mapInPandas(trimmed(run), "doc_id long, h0 long, h1 long, n long, w0 long, w1 long, " + "".join(f"s{k} long, " for k in range(MAP)) + "prefix binary, long binary")
@@ -135,7 +153,8 @@ def may_link(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     need = -(-4 * (nx + ny) // 9)
     left = np.minimum(nx - (x[..., 2] & 0xFFFFFFFF), ny - (y[..., 2] & 0xFFFFFFFF))
     apart = np.bitwise_count((x[..., 3:] ^ y[..., 3:]).view(np.uint64)).sum(axis=-1)
-    return (left >= need) & (apart <= nx + ny - 2 * need)
+    blank = 5 * (nx + ny) > 9 * BLANK  # one of them may have no map
+    return (left >= need) & (blank | (apart <= nx + ny - 2 * need))
 
 
 def _bucket_stars(rows: np.ndarray) -> list[tuple[int, int]]:
@@ -295,16 +314,13 @@ def exact_stars(sets: list[np.ndarray]) -> list[tuple[int, int]]:
     return edges
 
 
-def similar(docs: DataFrame, points: DataFrame, edges: DataFrame, words: int, load: int) -> DataFrame:
-    """Edges whose components are those of all pairs of similarity 0.8 or more within the components of ``edges``.
-    ``load``: shingles of a chunk."""
-    spark = docs.sparkSession
-    point = lambda a, b: F.struct(F.col(a).alias("h0"), F.col(b).alias("h1"))
-    roots, _ = connected_components(edges.select(point("a0", "a1").alias("a"), point("b0", "b1").alias("b")))
-    grouped, _ = stored(roots.join(points.select(point("h0", "h1").alias("node"), "n", "least"), "node").select("node.*", "root", "n", "least"), "jaccard-grouped")
-    large = grouped.groupBy("root").agg(F.sum("n").alias("sum")).where(F.col("sum") > load)
-    chunks = large.select("root", F.ceil(F.col("sum") / load).cast("int").alias("chunks"))  # few: each holds much text
-    marked = grouped.join(F.broadcast(chunks), "root", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+def _point(a: str, b: str) -> Column:
+    return F.struct(F.col(a).alias("h0"), F.col(b).alias("h1"))
+
+
+def _decided(docs: DataFrame, dealt: DataFrame, words: int) -> DataFrame:
+    """Edges whose components are those of all similar pairs among the sets (h0, h1; least: a document that has it) of
+    each task (root, lo, hi) of ``dealt``."""
 
     def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in pieces(frames, 2_000_000):
@@ -312,11 +328,9 @@ def similar(docs: DataFrame, points: DataFrame, edges: DataFrame, words: int, lo
             names = np.array([_name(s) for s in sets], dtype=np.int64).reshape(-1, 2)
             yield pd.DataFrame({"h0": names[:, 0], "h1": names[:, 1], "own": [s.tobytes() for s in sets]})
 
-    texts = text_rows(docs).join(grouped.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    texts = text_rows(docs).join(dealt.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
     sets = texts.mapInPandas(trimmed(read), "h0 long, h1 long, own binary").groupBy("h0", "h1").agg(F.first("own").alias("own"))
-    c = F.pmod(F.xxhash64("h0", "h1"), F.col("chunks")).cast("int")
-    dealt = marked.withColumn("c", c).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).where("chunks = 1 or c <> o")
-    dealt = dealt.select("h0", "h1", F.col("root.h0").alias("r0"), F.col("root.h1").alias("r1"), F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"))
+    dealt = dealt.select("h0", "h1", F.col("root.h0").alias("r0"), F.col("root.h1").alias("r1"), "lo", "hi")
     group = ["r0", "r1", "lo", "hi"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -337,10 +351,80 @@ def similar(docs: DataFrame, points: DataFrame, edges: DataFrame, words: int, lo
                 sets.append(np.frombuffer(own, dtype=np.uint64))
         yield from solved()
 
-    ready = dealt.join(sets, ["h0", "h1"]).repartition(shuffle_partitions(spark), *group).sortWithinPartitions(*group, "h0", "h1")
+    ready = dealt.join(sets, ["h0", "h1"]).repartition(shuffle_partitions(docs.sparkSession), *group).sortWithinPartitions(*group, "h0", "h1")
     return ready.mapInPandas(trimmed(run), "a0 long, a1 long, b0 long, b1 long").distinct()
 
 
+def _chunk(chunks: Column, turn: int = 0) -> Column:
+    return F.pmod(F.xxhash64("h0", "h1", F.lit(turn)), chunks).cast("int")
+
+
+def _parts(sets: DataFrame, edges: DataFrame) -> DataFrame:
+    """``sets`` with the least set (``part``) of those that ``edges`` link each with."""
+    part, _ = connected_components(edges.select(_point("a0", "a1").alias("a"), _point("b0", "b1").alias("b")))
+    name = _point("h0", "h1")
+    return stored(sets.withColumn("node", name).join(part.withColumnRenamed("root", "part"), "node", "left").withColumn("part", F.coalesce("part", "node")).drop("node"), "jaccard-parts")[0]
+
+
+def _some(parts: DataFrame, total: int, turn: int) -> DataFrame:
+    """The first and about four others of the sets of each part; others at each turn."""
+    sizes = parts.groupBy("part").agg(F.count("*").alias("size"), F.ceil(F.count("*") / 4).alias("every"))
+    lot = F.pmod(F.xxhash64("h1", "h0", F.lit(turn)), F.col("every"))
+    return join_groups(parts, sizes, "part", "size", total).where((lot == 0) | (F.col("part") == _point("h0", "h1"))).drop("every")
+
+
+def _across(parts: DataFrame, load: int) -> DataFrame:
+    """Tasks that hold every pair of sets of a group (root) but those within its largest part, which are linked already:
+    the chunks of that part, each with each chunk of the rest, and the chunks of the rest with each other."""
+    by_part = parts.groupBy("root", "part").agg(F.sum("n").alias("sum"))
+    main = by_part.groupBy("root").agg(F.max(F.struct("sum", "part")).alias("top"), F.sum("sum").alias("all"))
+    count = lambda n: F.ceil(n / load).cast("int")
+    main = main.select("root", F.col("top.part").alias("main"), count(F.col("top.sum")).alias("m"), count(F.col("all") - F.col("top.sum")).alias("o")).where("o > 0")
+    own = parts.join(F.broadcast(main), "root").withColumn("inside", F.col("part") == F.col("main"))  # few: each holds much text
+    own = own.withColumn("c", _chunk(F.when(F.col("inside"), F.col("m")).otherwise(F.col("o"))))
+    task = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+    others = F.filter(F.sequence(F.lit(0), F.col("o") - 1), lambda k: k != F.col("c"))
+    rest = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("m") - 1), lambda i: task(i, F.col("c"))),
+        F.transform(others, lambda k: task(F.col("m") + F.least(F.col("c"), k), F.greatest(F.col("c"), k))),
+    )
+    tasks = F.when(F.col("inside"), F.transform(F.sequence(F.lit(0), F.col("o") - 1), lambda j: task(F.col("c"), j))).otherwise(rest)
+    return own.withColumn("t", F.explode(tasks)).select("h0", "h1", "least", "root", "t.lo", "t.hi")
+
+
+def similar(docs: DataFrame, points: DataFrame, edges: DataFrame, words: int, load: int) -> DataFrame:
+    """Edges whose components are those of all pairs of similarity 0.8 or more within the components of ``edges``.
+    ``load``: shingles of a chunk.
+
+    A group of more is decided in three steps, so that a set of many copies goes to a few tasks instead of one for each
+    pair of chunks: each chunk by itself; some sets of each part that this links, while parts come together; then all
+    pairs but those within the group's largest part."""
+    roots, _ = connected_components(edges.select(_point("a0", "a1").alias("a"), _point("b0", "b1").alias("b")))
+    grouped, _ = stored(roots.join(points.select(_point("h0", "h1").alias("node"), "n", "least"), "node").select("node.*", "root", "n", "least"), "jaccard-grouped")
+    large, _ = stored(grouped.groupBy("root").agg(F.sum("n").alias("sum")).where(F.col("sum") > load), "jaccard-large")
+    chunks = large.select("root", F.ceil(F.col("sum") / load).cast("int").alias("chunks"))  # few: each holds much text
+    marked = grouped.join(F.broadcast(chunks), "root", "left")
+    dealt = marked.withColumn("lo", _chunk(F.coalesce("chunks", F.lit(1)))).withColumn("hi", F.col("lo")).drop("chunks")
+    found = _decided(docs, dealt, words)
+    if large.isEmpty():
+        return found
+    found, _ = stored(found, "jaccard-found")
+    parts = _parts(dealt.join(F.broadcast(large.select("root")), "root", "left_semi").drop("lo", "hi"), found)
+    many, total = parts.select("part").distinct().count(), parts.count()
+    for turn in range(8):  # more would change no result, only what is left to the last step
+        if many == large.count():
+            break
+        few = _some(parts, total, turn)
+        sums = few.groupBy("root").agg(F.ceil(F.sum("n") / load).cast("int").alias("chunks"))
+        between = few.join(F.broadcast(sums), "root").withColumn("lo", _chunk(F.col("chunks"), turn)).withColumn("hi", F.col("lo"))
+        found, _ = stored(found.union(_decided(docs, between, words)), "jaccard-found")
+        parts = _parts(parts.drop("part"), found)
+        before, many = many, parts.select("part").distinct().count()
+        if many == before:
+            break
+    return found.union(_decided(docs, _across(parts, load), words))
+
+
 def kept_ids(docs: DataFrame, words: int = 5, chunk: int = 8192, load: int = 1_000_000, near: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """doc_id: the least of each component of similar documents. Rows need a doc_id; texts with equal sets, those without
     words among them, are linked. ``near``: gives candidate edges from the sets' names and fingerprints (h0, h1, w0, w1), by
@@ -351,7 +435,6 @@ def kept_ids(docs: DataFrame, words: int = 5, chunk: int = 8192, load: int = 1_0
     if near:
         edges = near(points.select("h0", "h1", "w0", "w1")).union(edges)
     edges = similar(docs, points, edges, words, load)
-    point = lambda a, b: F.struct(F.col(a).alias("h0"), F.col(b).alias("h1"))
-    roots, _ = connected_components(edges.select(point("a0", "a1").alias("a"), point("b0", "b1").alias("b")))
-    labelled = points.select(point("h0", "h1").alias("node"), "least").join(roots, "node", "left")
+    roots, _ = connected_components(edges.select(_point("a0", "a1").alias("a"), _point("b0", "b1").alias("b")))
+    labelled = points.select(_point("h0", "h1").alias("node"), "least").join(roots, "node", "left")
     return labelled.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min("least").alias("doc_id")).select("doc_id").distinct()

@@ -1,3 +1,4 @@
+import functools
 import itertools
 import random
 
@@ -96,3 +97,38 @@ def test_the_stage_links_by_covering_tables_and_checks_each_link(spark, monkeypa
     assert ids(simhash.near_duplicates_removed(frame)) == {d for d, _ in rows} - within
     monkeypatch.setattr(jaccard, "exact_stars", lambda sets: [])
     assert ids(simhash.near_duplicates_removed(frame)) == {d for d, t in rows if d % 2 == 0 or t != rows[d - 1][1]}
+
+
+def test_a_passage_that_some_documents_share_makes_no_candidates_however_many_documents_there_are(spark, monkeypatch):
+    """A passage in a tenth of the documents, whose number is large against the sample's: its holders are long and not
+    similar, so they must not become one group of candidates."""
+    rng = random.Random(9)
+    known = [word(rng) for _ in range(5000)]
+    passage = rng.choices(known, k=120)
+    rows = [(i, " ".join(passage + rng.choices(known, k=rng.randrange(420, 440)))) for i in range(320)]
+    rows += [(1000 + i, " ".join(rng.choices(known, k=10))) for i in range(2880)]
+    monkeypatch.setattr(jaccard, "common", functools.partial(jaccard.common, sample=20))
+    seen, similar = [], jaccard.similar
+    monkeypatch.setattr(jaccard, "similar", lambda docs, points, edges, words, load: seen.append(edges.count()) or similar(docs, points, edges, words, load))
+    assert ids(jaccard.kept_ids(spark.createDataFrame(rows, "doc_id long, text string"))) == {d for d, _ in rows}
+    assert seen[0] < 32
+
+
+def test_a_set_of_a_large_group_is_compared_in_few_tasks(spark, monkeypatch, tmp_path):
+    rng, rows = random.Random(10), []
+    base = [word(rng) for _ in range(200)]
+    for i in range(400):  # near copies of one text, in twenty chunks, and some that only a chain links
+        t = list(base)
+        for k in range(1 + i % 3 if i % 50 else 5):
+            t[rng.randrange(len(t))] = word(rng)
+        rows.append((i, " ".join(t)))
+    log, solve = str(tmp_path / "compared"), jaccard.exact_stars
+
+    def counted(sets):
+        with open(log, "a") as f:
+            f.write(f"{sum(map(len, sets))}\n")
+        return solve(sets)
+
+    monkeypatch.setattr(jaccard, "exact_stars", counted)
+    assert ids(jaccard.kept_ids(spark.createDataFrame(rows, "doc_id long, text string"), load=4000)) == expected(rows)
+    assert sum(map(int, open(log))) < 4 * 400 * 196
